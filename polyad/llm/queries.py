@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from polyad.llm.cooccurrence import memberships, named_pairs, pair_counts
 from polyad.llm.mixing import mix_sources
 from polyad.llm.neighbours import similar_vectors
+from polyad.llm.residue import residue, without_residue
 from polyad.llm.runs import collapse_runs
 from polyad.llm.sql import SQL as SQL
 from polyad.llm.tokens import encode
@@ -55,4 +56,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_pairs, p5_found, p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are no residue."""
+    return without_residue(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_pairs, p5_found, p6_ids, p7_mix, p7_shares, p8_found, p8_kept)}
