@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyad import catalogue
 from polyad.operators.periods import periods_and_gaps
 from polyad.operators.sessions import entity_of, sessionize
 from polyad.plans.session import table
@@ -59,3 +60,5 @@ SQL: dict[str, str] = {
     "p2_found": f"select entity, first_event_id, last_event_id from ({P2_SESSIONS})",
     "p3_found": P3,
 }
+QUERIES |= catalogue.QUERIES
+SQL |= catalogue.SQL
