@@ -69,8 +69,11 @@ def encode_text(text: str | None, root: str = ROOT, name: str = NAME) -> list[in
 
 
 def boundaries(text: str) -> list[int]:
-    """End offsets of the pre-tokens of ``text``."""
-    return [m.end() for m in _pattern().finditer(text)]
+    """End offsets of the pre-tokens of ``text`` at which it can be parted: before a plain blank and
+    not after one. A run of blanks is split differently if nothing follows it, and at other places
+    regular expression engines may know different versions of Unicode's classes."""
+    ends = (m.end() for m in _pattern().finditer(text))
+    return [e for e in ends if e < len(text) and text[e] in " \t\r\n" and not text[e - 1].isspace()]
 
 
 def _lists(rows: list[list[int]]) -> pa.Array:
