@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyad.operators import communities as C
+from polyad.operators import factor as L
 from polyad.operators import hypergraph as H
+from polyad.operators import memory_network as N
 from polyad.operators import sequences as Q
 from polyad.operators import simplicial as K
 from polyad.operators import spectral as P
@@ -776,3 +778,97 @@ def clique_homology(spark, d):
 @query()
 def clique_q_analysis(spark, d):
     return K.q_analysis(K.cliques(_strong_pairs(spark, d), 2))
+
+
+# ---- memory networks as graphs, factors, propagation --------------------------------------------
+
+
+def _network(spark, d):
+    return Q.memory_network(Q.memory_rules(event_sequences(spark, d), 3))
+
+
+@query()
+def memory_network_pagerank(spark, d):
+    return N.project(N.network_pagerank(_network(spark, d), rounds=20))
+
+
+@query()
+def memory_network_closeness(spark, d):
+    return N.network_closeness(_network(spark, d))
+
+
+@query()
+def memory_network_embedding(spark, d):
+    return N.network_embedding(_network(spark, d), 3)
+
+
+@query()
+def memory_network_communities(spark, d):
+    return N.network_communities(_network(spark, d), trials=2)
+
+
+FLOW = f"with {SEQ}, {LED}, fl as (select s0 source, s1 destination, count(*) / sum(count(*)) over () f from led where s1 is not null group by all), pt as (select distinct state node, case when state < 'm' then 'x' else 'y' end module from seq)"
+
+
+@query(f"""{FLOW}, x as (select f, a.module ms, z.module md, destination from fl join pt a on a.node = source join pt z on z.node = destination),
+e as (select ms module, sum(f) ex from x where ms <> md group by ms), n as (select md module, sum(f) en from x where ms <> md group by md), o as (select md module, sum(f) own from x group by md), ph as (select sum(p * log2(p)) ph from (select md, destination, sum(f) p from x group by all)),
+m as (select module, coalesce(ex, 0) ex, coalesce(en, 0) en, coalesce(own, 0) own from (select distinct module from pt) left join e using (module) left join n using (module) left join o using (module)),
+t as (select sum(en) e, sum(case when en > 0 then en * log2(en) else 0 end) pe, sum(case when ex + own > 0 then (ex + own) * log2(ex + own) else 0 end) pt, sum(case when ex > 0 then ex * log2(ex) else 0 end) px from m)
+select round(case when e > 0 then e * log2(e) else 0 end - pe + pt - px - ph, 6) as codelength, round(case when e > 0 then e * log2(e) else 0 end - pe, 6) as index_length, round(pt - px - ph, 6) as module_length from t, ph""")
+def codelength_of_partition(spark, d):
+    g = Q.kgrams(event_sequences(spark, d), 1)
+    total = g.agg(F.sum("count").alias("t"))
+    flow = g.crossJoin(F.broadcast(total)).select(F.col("context")[0].alias("source"), F.col("target").alias("destination"), (F.col("count") / F.col("t")).alias("flow"))
+    part = event_sequences(spark, d).select(F.col("state").alias("node")).distinct().withColumn("module", F.when(F.col("node") < "m", "x").otherwise("y"))
+    return rounded(N.codelength(flow, part), "codelength", "index_length", "module_length")
+
+
+@query()
+def path_anomaly_order2(spark, d):
+    return N.path_anomaly(event_sequences(spark, d), 2)
+
+
+@query(f"with {SO}, dg as (select node, sqrt(count(*)) dv from b group by node), {SIZES}, x as (select node, edge, dv, 1 / size de from b join dg using (node) join sz using (edge)) select node, edge, round(dv / sum(dv) over (partition by edge), 6) as node_to_edge, round(de / sum(de) over (partition by node), 9) as edge_to_node from x")
+def propagation_weights(spark, d):
+    return rounded(L.propagation(supplier_orders(spark, d), alpha=-1.0, beta=0.5), "node_to_edge").withColumn("edge_to_node", F.round("edge_to_node", 9))
+
+
+@query(f"""with {SO}, {SIZES}, ft as (select cast(s_suppkey as varchar) node, s_acctbal x from supplier), p as (select a.edge, a.node a, z.node b, round((fa.x - fz.x) * (fa.x - fz.x), 9) d from b a join b z on a.edge = z.edge and a.node < z.node join ft fa on fa.node = a.node join ft fz on fz.node = z.node),
+e as (select edge, a, b from p qualify row_number() over (partition by edge order by d desc, a, b) = 1), r as (select e.edge, e.a, e.b, b.node from e join b on b.edge = e.edge and b.node <> e.a and b.node <> e.b),
+l as (select edge, a, b from e union all select edge, a, node from r union all select edge, b, node from r)
+select least(a, b) as node_a, greatest(a, b) as node_b, round(sum(1 / (2 * size - 3)), 6) as weight from l join sz using (edge) group by all""")
+def mediated_graph(spark, d):
+    ft = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("node"), F.array(F.col("s_acctbal").cast("double")).alias("coordinates"))
+    return rounded(L.mediated_graph(supplier_orders(spark, d), ft), "weight")
+
+
+@query()
+def coclusters(spark, d):
+    return L.cocluster(_large_lines(spark, d), 3)
+
+
+@query()
+def block_model(spark, d):
+    return L.block_model(_large_lines(spark, d), 3, starts=2, rounds=40)
+
+
+@query()
+def symmetric_nmf_clusters(spark, d):
+    return L.symmetric_nmf(_large_lines(spark, d), 3, starts=2)
+
+
+@query(rf"""with {TOKENS}, {CLUSTERS}, c as (select cluster, word, cast(sum(count) as double) c from counts join cl using (doc) group by all), tp as (select cluster, word from c qualify row_number() over (partition by cluster order by c desc, word) <= 10),
+g as (select k.cluster, w.word, coalesce(c, 0) c from (select distinct cluster from c) k cross join (select distinct word from c) w left join c on c.cluster = k.cluster and c.word = w.word),
+b as (select *, c / sum(c) over (partition by cluster) beta from g), x as (select *, round(beta / sum(beta) over (partition by word), 12) ex, c / sum(c) over (partition by word) part, round(beta, 12) be from b),
+r as (select *, (rank() over (partition by cluster order by ex) + (count(*) over (partition by cluster, ex) - 1) / 2) / count(*) over (partition by cluster) e, (rank() over (partition by cluster order by be) + (count(*) over (partition by cluster, be) - 1) / 2) / count(*) over (partition by cluster) f from x)
+select cluster, round(sum(1 / (0.7 / e + 0.3 / f)), 5) as frex, round(avg(part), 6) as share from r join tp using (cluster, word) group by cluster""")
+def topic_exclusivity(spark, d):
+    b = X.bag(X.word_counts(_words(spark, d)))
+    g = b.join(sources(spark, d), "doc").groupBy("cluster", "word").agg(F.sum("count").alias("c"))
+    top = g.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("c"), "word"))).where("rank <= 10")
+    return rounded(X.exclusivity(b, sources(spark, d), top), "share").withColumn("frex", F.round("frex", 5))
+
+
+@query("select s_suppkey, s_nationkey, s_acctbal, not exists (select 1 from supplier o where o.s_nationkey >= s.s_nationkey and o.s_acctbal >= s.s_acctbal and (o.s_nationkey > s.s_nationkey or o.s_acctbal > s.s_acctbal)) as frontier from supplier s")
+def pareto_frontier(spark, d):
+    return X.dominant(table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_nationkey", "s_acctbal"])

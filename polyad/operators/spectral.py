@@ -36,26 +36,29 @@ def walk(m: DataFrame, omega: DataFrame) -> DataFrame:
     return x.select("node", "edge", (F.col("omega") / F.sum("omega").over(d)).alias("out"), (F.col("weight") / F.col("delta")).alias("into"))
 
 
-def pagerank(m: DataFrame, damping: float = 0.85, omega: DataFrame | None = None, teleport: DataFrame | None = None, iterations: int = 100, tol: float = 1e-10, every: int = 8) -> DataFrame:
+def _both_ways(b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The incidence materialised by node and by edge, so that rounds shuffle vectors only."""
+    n = int(b.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = cut(b)
+    return cut(once.repartition(n, "node")), cut(once.repartition(n, "edge"))
+
+
+def pagerank(m: DataFrame, damping: float = 0.85, omega: DataFrame | None = None, teleport: DataFrame | None = None, iterations: int = 100, tol: float = 1e-10) -> DataFrame:
     """(node, pagerank) of the walk; ``teleport`` (node, p) defaults to uniform. Stops when the sum of
     changes is below ``tol`` or after ``iterations``."""
-    p = cut(walk(m, edge_weights(m, omega)))
-    nodes = p.select("node").distinct()
+    by_node, by_edge = _both_ways(walk(m, edge_weights(m, omega)))
+    nodes = by_node.select("node").distinct()
     base = nodes.join(teleport.select("node", F.col("p").alias("t")), "node", "left").na.fill(0.0) if teleport is not None else nodes.withColumn("t", F.lit(1.0))
     base = cut(base.withColumn("t", F.col("t") / F.sum("t").over(Window.partitionBy())))
     r = base.select("node", F.col("t").alias("r"))
-    for i in range(1, iterations + 1):
-        e = p.join(r, "node").groupBy("edge").agg(F.sum(F.col("r") * F.col("out")).alias("x"))
-        n = p.join(e, "edge").groupBy("node").agg(F.sum(F.col("x") * F.col("into")).alias("y"))
-        new = base.join(n, "node", "left").select("node", (F.lit(1 - damping) * F.col("t") + F.lit(damping) * F.coalesce("y", F.lit(0.0))).alias("r"))
-        if i % every == 0 or i == iterations:
-            new = cut(new)
-            moved = new.join(r.withColumnRenamed("r", "o"), "node").agg(F.sum(F.abs(F.col("r") - F.col("o")))).first()[0] or 0.0
-            r = new
-            if moved < tol:
-                break
-        else:
-            r = new
+    for _ in range(iterations):
+        e = by_node.join(r, "node").groupBy("edge").agg(F.sum(F.col("r") * F.col("out")).alias("x"))
+        n = by_edge.join(e, "edge").groupBy("node").agg(F.sum(F.col("x") * F.col("into")).alias("y"))
+        new = cut(base.join(n, "node", "left").select("node", (F.lit(1 - damping) * F.col("t") + F.lit(damping) * F.coalesce("y", F.lit(0.0))).alias("r")))
+        moved = tol > 0 and new.join(r.withColumnRenamed("r", "o"), "node").agg(F.sum(F.abs(F.col("r") - F.col("o")))).first()[0]
+        r = new
+        if tol > 0 and (moved or 0.0) < tol:
+            break
     return r.select("node", (F.col("r") / F.sum("r").over(Window.partitionBy())).alias("pagerank"))
 
 
@@ -64,19 +67,14 @@ def clique_eigenvector(m: DataFrame, iterations: int = 50, tol: float = 1e-9) ->
     iteration on A + I."""
     p = node_pairs(m).select("node_a", "node_b").distinct()
     a = cut(p.select(F.col("node_a").alias("node"), F.col("node_b").alias("o")).unionByName(p.select(F.col("node_b").alias("node"), F.col("node_a").alias("o"))))
-    x = cut(m.select("node").distinct().withColumn("x", F.lit(1.0)))
-    x = _unit(x)
-    for i in range(1, iterations + 1):
+    x = cut(_unit(m.select("node").distinct().withColumn("x", F.lit(1.0))))
+    for _ in range(iterations):
         y = a.join(x.select(F.col("node").alias("o"), "x"), "o").groupBy("node").agg(F.sum("x").alias("y"))
-        new = _unit(x.join(y, "node", "left").select("node", (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("x")))
-        if i % 8 == 0 or i == iterations:
-            new = cut(new)
-            gap = new.join(x.withColumnRenamed("x", "o"), "node").agg(F.sum(F.abs(F.col("x") - F.col("o")))).first()[0] or 0.0
-            x = new
-            if gap < tol:
-                break
-        else:
-            x = new
+        new = cut(_unit(x.join(y, "node", "left").select("node", (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("x"))))
+        gap = new.join(x.withColumnRenamed("x", "o"), "node").agg(F.sum(F.abs(F.col("x") - F.col("o")))).first()[0] or 0.0
+        x = new
+        if gap < tol:
+            break
     return x.select("node", F.col("x").alias("centrality"))
 
 
@@ -92,21 +90,17 @@ def tensor_centrality(m: DataFrame, kind: str = "Z", iterations: int = 60, tol:
         raise BadInput("kind is Z or H")
     b = cut(m.select("node", "edge"))
     big = b.groupBy("edge").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 2
-    x = _unit(cut(b.select("node").distinct().withColumn("x", F.lit(1.0))))
-    for i in range(1, iterations + 1):
+    x = cut(_unit(b.select("node").distinct().withColumn("x", F.lit(1.0))))
+    for _ in range(iterations):
         logs = b.join(x, "node").withColumn("l", F.log(F.greatest("x", F.lit(1e-300))))
         e = logs.groupBy("edge").agg(F.sum("l").alias("s"))
         y = logs.join(e, "edge").groupBy("node").agg(F.sum(F.exp(F.col("s") - F.col("l"))).alias("y"))
         y = y.withColumn("y", F.pow("y", F.lit(1.0 / (big - 1)))) if kind == "H" and big > 1 else y
-        new = _unit(x.join(y, "node").select("node", (F.col("x") + F.col("y")).alias("x")))
-        if i % 4 == 0 or i == iterations:
-            new = cut(new)
-            gap = new.join(x.withColumnRenamed("x", "o"), "node").agg(F.sum(F.abs(F.col("x") - F.col("o")))).first()[0]
-            x = new
-            if gap < tol:
-                break
-        else:
-            x = new
+        new = cut(_unit(x.join(y, "node").select("node", (F.col("x") + F.col("y")).alias("x"))))
+        gap = new.join(x.withColumnRenamed("x", "o"), "node").agg(F.sum(F.abs(F.col("x") - F.col("o")))).first()[0] or 0.0
+        x = new
+        if gap < tol:
+            break
     return x.select("node", F.col("x").alias("centrality"))
 
 
@@ -143,28 +137,23 @@ def laplacian(m: DataFrame) -> DataFrame:
     return s.select("i", "j", (F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.lit(0.0)) - F.col("s")).alias("value"))
 
 
-def spread_labels(m: DataFrame, labels: DataFrame, xi: float = 0.99, normalisation: str = "none", iterations: int = 60, tol: float = 1e-8, every: int = 6) -> DataFrame:
+def spread_labels(m: DataFrame, labels: DataFrame, xi: float = 0.99, normalisation: str = "none", iterations: int = 60, tol: float = 1e-8) -> DataFrame:
     """(node, predicted, score, margin): F = (1 - xi)(I - xi S)^-1 Y for S of ``laplacian``, all classes at
     once. ``labels`` is (node, label). ``class_mass`` divides each class by its sum. Ties go to the
     lesser label; nodes out of reach of any label get null."""
     size = m.groupBy("edge").agg(F.count(F.lit(1)).alias("k"))
     d = m.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    b = cut(m.select("node", "edge").join(size, "edge").join(d, "node").select("node", "edge", "k", (F.lit(1.0) / F.sqrt("d")).alias("v")))
-    y = cut(labels.where("node is not null and label is not null").select("node", F.col("label").cast("string").alias("label"), F.lit(1.0).alias("y")).distinct().join(b.select("node").distinct(), "node", "left_semi"))
-    f = y.select("node", "label", (F.lit(1 - xi) * F.col("y")).alias("f"))
-    seed = f
-    for i in range(1, iterations + 1):
-        e = b.join(f, "node").groupBy("edge", "label").agg(F.sum(F.col("v") * F.col("f") / F.col("k")).alias("x"))
-        n = b.join(e, "edge").groupBy("node", "label").agg(F.sum(F.col("v") * F.col("x")).alias("z"))
-        new = n.select("node", "label", (F.lit(xi) * F.col("z")).alias("f")).unionByName(seed).groupBy("node", "label").agg(F.sum("f").alias("f"))
-        if i % every == 0 or i == iterations:
-            new = cut(new)
-            gap = new.join(f.withColumnRenamed("f", "o"), ["node", "label"], "left").agg(F.max(F.abs(F.col("f") - F.coalesce("o", F.lit(0.0))))).first()[0] or 0.0
-            f = new
-            if gap < tol:
-                break
-        else:
-            f = new
+    by_node, by_edge = _both_ways(m.select("node", "edge").join(size, "edge").join(d, "node").select("node", "edge", "k", (F.lit(1.0) / F.sqrt("d")).alias("v")))
+    known = labels.where("node is not null and label is not null").select("node", F.col("label").cast("string").alias("label")).distinct()
+    f = seed = cut(known.join(by_node.select("node").distinct(), "node", "left_semi").select("node", "label", F.lit(1 - xi).alias("f")))
+    for _ in range(iterations):
+        e = by_node.join(f, "node").groupBy("edge", "label").agg(F.sum(F.col("v") * F.col("f") / F.col("k")).alias("x"))
+        n = by_edge.join(e, "edge").groupBy("node", "label").agg(F.sum(F.col("v") * F.col("x")).alias("z"))
+        new = cut(n.select("node", "label", (F.lit(xi) * F.col("z")).alias("f")).unionByName(seed).groupBy("node", "label").agg(F.sum("f").alias("f")))
+        gap = tol > 0 and new.join(f.withColumnRenamed("f", "o"), ["node", "label"], "left").agg(F.max(F.abs(F.col("f") - F.coalesce("o", F.lit(0.0))))).first()[0]
+        f = new
+        if tol > 0 and (gap or 0.0) < tol:
+            break
     if normalisation == "class_mass":
         f = f.withColumn("f", F.col("f") / F.sum("f").over(Window.partitionBy("label")))
     elif normalisation != "none":
@@ -172,7 +161,7 @@ def spread_labels(m: DataFrame, labels: DataFrame, xi: float = 0.99, normalisati
     w = Window.partitionBy("node").orderBy(F.desc("f"), "label")
     best = f.withColumns({"r": F.row_number().over(w), "second": F.lead("f").over(w)}).where("r = 1")
     out = best.select("node", F.col("label").alias("predicted"), F.col("f").alias("score"), (F.col("f") - F.coalesce("second", F.lit(0.0))).alias("margin"))
-    return b.select("node").distinct().join(out, "node", "left")
+    return by_node.select("node").distinct().join(out, "node", "left")
 
 
 def _dense(m: DataFrame) -> tuple[list[str], np.ndarray]:

@@ -210,3 +210,35 @@ def topics(b: DataFrame, k: int, iterations: int = 100, starts: int = 3, seed: i
     best = f.agg(F.min(F.struct("cost", "start")).alias("m")).first()["m"]["start"]
     f = f.where(F.col("start") == best)
     return f.where("kind = 'doc'").select(F.col("name").alias("doc"), "topic", "weight"), f.where("kind = 'word' and weight > 0").select("topic", F.col("name").alias("word"), "weight")
+
+
+def exclusivity(b: DataFrame, clusters: DataFrame, top: DataFrame, weight: float = 0.7) -> DataFrame:
+    """(cluster, frex, share) over top words (cluster, word): frex sums 1 / (w / e + (1 - w) / f), e and f the
+    average ranks of a word's share over clusters and of its probability in the cluster, over the
+    vocabulary size; share averages the part of a word's count that falls in the cluster."""
+    j = b.join(clusters.select(F.col("doc").cast("string").alias("doc"), F.col("cluster").cast("string").alias("cluster")), "doc")
+    c = j.groupBy("cluster", "word").agg(F.sum("count").cast("double").alias("c"))
+    grid = c.select("word").distinct().crossJoin(F.broadcast(c.select("cluster").distinct()))
+    g = grid.join(c, ["cluster", "word"], "left").na.fill(0.0)
+    g = g.withColumn("beta", F.col("c") / F.sum("c").over(Window.partitionBy("cluster")))
+    word = Window.partitionBy("word")
+    g = g.withColumns({"ex": F.col("beta") / F.sum("beta").over(word), "part": F.col("c") / F.sum("c").over(word)})
+    v = F.count(F.lit(1)).over(Window.partitionBy("cluster"))
+    r = lambda x: (F.rank().over(Window.partitionBy("cluster").orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy("cluster", x)) - 1) / 2.0) / v
+    g = g.withColumns({"beta": F.round("beta", 12), "ex": F.round("ex", 12)}).withColumns({"e": r("ex"), "f": r("beta")})
+    k = g.join(top.select("cluster", "word"), ["cluster", "word"])
+    return k.groupBy("cluster").agg(F.sum(F.lit(1.0) / (F.lit(weight) / F.col("e") + F.lit(1 - weight) / F.col("f"))).alias("frex"), F.avg("part").alias("share"))
+
+
+def dominant(scores: DataFrame, better: list[str]) -> DataFrame:
+    """``scores`` with ``frontier``: no other row is at least as good in every column of ``better`` and
+    better in one."""
+    s = scores.withColumn("_id", F.monotonically_increasing_id())
+    s = cut(s)
+    o = s.select(*[F.col(c).alias(f"_{c}") for c in better], F.col("_id").alias("_o"))
+    at_least = F.lit(True)
+    above = F.lit(False)
+    for c in better:
+        at_least, above = at_least & (F.col(f"_{c}") >= F.col(c)), above | (F.col(f"_{c}") > F.col(c))
+    beaten = s.join(F.broadcast(o), at_least & above, "left_semi").select("_id", F.lit(False).alias("_f"))
+    return s.join(beaten, "_id", "left").withColumn("frontier", F.coalesce("_f", F.lit(True))).drop("_id", "_f")
