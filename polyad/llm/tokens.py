@@ -97,13 +97,16 @@ def _encode(root: str, name: str, count_only: bool, tail: int):
 
 
 def _cut_up(chunk: int, overlap: int):
+    """Rows (ident, rid, text) as rows (ident, rid, i, n, off, text) of overlapping chunks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for r, (rid, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 n = -(-len(text) // chunk)
                 for i in range(n):
                     a = max(0, i * chunk - overlap)
-                    yield pa.RecordBatch.from_pydict({"rid": pa.array([rid], pa.int64()), "i": pa.array([i], pa.int32()), "n": pa.array([n], pa.int32()), "off": pa.array([a], pa.int64()), "text": [text[a : (i + 1) * chunk + overlap]]})
+                    cols = [b.column(0).slice(r, 1), pa.array([rid], pa.int64()), pa.array([i], pa.int32()), pa.array([n], pa.int32()), pa.array([a], pa.int64()), pa.array([text[a : (i + 1) * chunk + overlap]])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["ident", "rid", "i", "n", "off", "text"])
 
     return run
 
@@ -146,23 +149,23 @@ def encode(texts: DataFrame, ident: str = "doc_id", text: str = "text", root: st
     is_long = F.length("text") > chunk
     short = src.where(~F.coalesce(is_long, F.lit(False))).mapInArrow(_encode(root, name, count_only, 1), f"ident {kind}, {last}")
     long = src.where(is_long).withColumn("rid", F.monotonically_increasing_id())
-    pieces = long.select("rid", "text").mapInArrow(_cut_up(chunk, overlap), "rid long, i int, n int, off long, text string")
-    found = pieces.repartition("rid", "i").mapInArrow(_pre_tokenise(chunk, overlap), "rid long, i int, n int, off long, text string, head array<long>, tail array<long>")
+    shape = f"ident {kind}, rid long, i int, n int, off long, text string"
+    pieces = long.select("ident", "rid", "text").mapInArrow(_cut_up(chunk, overlap), shape)
+    found = pieces.repartition("rid", "i").mapInArrow(_pre_tokenise(chunk, overlap), shape + ", head array<long>, tail array<long>")
     w = Window.partitionBy("rid").orderBy("i")
     found = found.withColumn("cut", F.when(F.col("i") == 0, F.lit(0).cast("long")).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(w), "head"))))
     found = found.withColumns({"lost": F.max(F.col("cut").isNull()).over(Window.partitionBy("rid")), "next": F.lead("cut").over(w)})
     a = F.when(F.col("lost"), F.col("i") * F.lit(chunk).cast("long")).otherwise(F.col("cut")) - F.col("off")
     z = F.when(F.col("i") == F.col("n") - 1, F.length("text").cast("long")).otherwise(F.when(F.col("lost"), (F.col("i") + 1) * F.lit(chunk).cast("long")).otherwise(F.col("next")) - F.col("off"))
     piece = F.substring(F.col("text"), (a + 1).cast("int"), (z - a).cast("int"))
-    parts = found.select("rid", F.when(F.col("lost"), 0).otherwise(F.col("i")).alias("g"), "i", piece.alias("piece"))
-    parts = parts.groupBy("rid", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), "").alias("text"))
-    ids = parts.repartition("rid", "g").mapInArrow(_encode(root, name, count_only, 2), f"rid long, g int, {last}")
+    parts = found.select("ident", "rid", F.when(F.col("lost"), 0).otherwise(F.col("i")).alias("g"), "i", piece.alias("piece"))
+    parts = parts.groupBy("rid", "g").agg(F.first("ident").alias("ident"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    ids = parts.repartition("rid", "g").select("rid", "g", "ident", "text").mapInArrow(_encode(root, name, count_only, 3), f"rid long, g int, ident {kind}, {last}")
     if count_only:
-        whole = ids.groupBy("rid").agg(F.sum("ids").alias("ids"))
+        whole = ids.groupBy("rid").agg(F.first("ident").alias("ident"), F.sum("ids").alias("ids"))
     else:
-        whole = ids.groupBy("rid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("g", "ids"))), lambda x: x["ids"])).alias("ids"))
-    long_out = long.select("ident", "rid").join(whole, "rid").select("ident", "ids")
-    return short.unionByName(long_out).select(F.col("ident").alias(ident), F.col("ids").alias("n_tokens" if count_only else "ids"))
+        whole = ids.groupBy("rid").agg(F.first("ident").alias("ident"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("g", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return short.unionByName(whole.select("ident", "ids")).select(F.col("ident").alias(ident), F.col("ids").alias("n_tokens" if count_only else "ids"))
 
 
 def decode(encoded: DataFrame, ident: str = "doc_id", ids: str = "ids", root: str = ROOT, name: str = NAME) -> DataFrame:
