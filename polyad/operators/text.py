@@ -232,7 +232,9 @@ def exclusivity(b: DataFrame, clusters: DataFrame, top: DataFrame, weight: float
 
 def dominant(scores: DataFrame, better: list[str]) -> DataFrame:
     """``scores`` with ``frontier``: no other row is at least as good in every column of ``better`` and
-    better in one."""
+    better in one. One row stands for one model, so at most 10,000 rows are taken."""
+    if scores.limit(10_001).count() > 10_000:
+        raise DenseTooLarge("more than 10,000 rows of scores")
     s = scores.withColumn("_id", F.monotonically_increasing_id())
     s = cut(s)
     o = s.select(*[F.col(c).alias(f"_{c}") for c in better], F.col("_id").alias("_o"))
