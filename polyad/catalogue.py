@@ -350,23 +350,19 @@ def citation_projection(spark, d):
 SPARSE = "b as (select distinct cast(l_partkey as varchar) node, cast(l_orderkey as varchar) edge from lineitem where l_quantity = 50)"
 
 
-def _sparse(spark, d):
-    return H.groups(table(spark, d, "lineitem").where("l_quantity = 50"), "l_partkey", "l_orderkey")
-
-
 REACH = f"""with recursive {SPARSE}, l as (select distinct x.node a, y.node c from b x join b y using (edge)),
 r as (select node a, node c from b union select r.a, l.c from r join l on l.a = r.c), lab as (select a node, min(c) component from r group by a)"""
 
 
 @query(f"{REACH} select 'node' as kind, node as name, component from lab union all select distinct 'edge', edge, component from b join lab using (node)")
 def connected_components(spark, d):
-    return S.components(_sparse(spark, d))
+    return S.components(part_orders(spark, d))
 
 
 @query(f"""{REACH}, n as (select component, count(*) n_nodes from lab group by all), e as (select component, count(distinct edge) n_edges from b join lab using (node) group by all)
 select component, n_nodes, n_edges, round(n_nodes / sum(n_nodes) over (), 6) as share, row_number() over (order by n_nodes desc, component) as rank from n join e using (component)""")
 def component_table(spark, d):
-    return rounded(S.component_table(_sparse(spark, d)), "share")
+    return rounded(S.component_table(part_orders(spark, d)), "share")
 
 
 DUE = "b as (select distinct cast(l_suppkey as varchar) node, cast(l_orderkey as varchar) edge from lineitem where l_quantity >= 45)"
@@ -457,12 +453,12 @@ o as (select sum(c / (s1 + s2 - c)) js from (select x.edge, y.edge, any_value(a.
 t as (select count(distinct node) n, count(distinct edge) m, count(*) cells from b)
 select round(cells / (n * m), 6) as density, round(cells / m, 6) as avg_size, round(js / (m * (m - 1) / 2), 9) as avg_jaccard, round(p / (n * (n - 1) / 2), 6) as participation, cast(r as bigint) as repeated_edges, rep as repeated_pairs from t, rp, pp, o""")
 def null_statistics(spark, d):
-    return rounded(S.null_statistics(_sparse(spark, d)), "density", "avg_size", "participation").withColumn("avg_jaccard", F.round("avg_jaccard", 9))
+    return rounded(S.null_statistics(part_orders(spark, d)), "density", "avg_size", "participation").withColumn("avg_jaccard", F.round("avg_jaccard", 9))
 
 
 @query()
 def null_test_configuration(spark, d):
-    return S.null_test(_sparse(spark, d), n=19)
+    return S.null_test(part_orders(spark, d), n=19)
 
 
 # ---- temporal -----------------------------------------------------------------------------------

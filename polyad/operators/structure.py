@@ -251,19 +251,27 @@ def null_statistics(m: DataFrame, keys: list[str] | None = None) -> DataFrame:
     size = b.groupBy(*keys, "edge").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("node")).alias("set"))
     base = b.groupBy(*keys).agg(F.count_distinct("node").alias("n"), F.count_distinct("edge").alias("m"), F.count(F.lit(1)).alias("cells"))
     rep = size.groupBy(*keys, "set").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.sum(F.when(F.col("c") > 1, F.col("c") - 1).otherwise(0)).alias("repeated_edges"))
-    x = b.select(*keys, "edge", F.col("node").alias("a")).join(b.select(*keys, "edge", F.col("node").alias("z")), [*keys, "edge"]).where("a < z").groupBy(*keys, "a", "z").agg(F.count(F.lit(1)).alias("c"))
-    pairs = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.when(F.col("c") > 1, 1).otherwise(0)).alias("repeated_pairs"))
     s = b.join(size.select(*keys, "edge", "size"), [*keys, "edge"])
-    o = s.select(*keys, "node", F.col("edge").alias("ea"), F.col("size").alias("sa")).join(s.select(*keys, "node", F.col("edge").alias("eb"), F.col("size").alias("sb")), [*keys, "node"]).where("ea < eb")
-    o = o.groupBy(*keys, "ea", "eb", "sa", "sb").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.sum(F.col("c") / (F.col("sa") + F.col("sb") - F.col("c"))).alias("js"))
+    pr = s.select(*keys, "edge", "size", F.col("node").alias("a")).join(b.select(*keys, "edge", F.col("node").alias("z")), [*keys, "edge"]).where("a < z")
+    x = pr.groupBy(*keys, "a", "z").agg(F.count(F.lit(1)).alias("c"))
+    pairs = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.when(F.col("c") > 1, 1).otherwise(0)).alias("repeated_pairs"))
+    # every shared node adds 1 / (sa + sb - 1), by sizes at each node; edges that share more are found by the pairs they repeat and corrected
+    h = s.groupBy(*keys, "node", "size").agg(F.count(F.lit(1)).alias("h"))
+    hh = h.withColumnsRenamed({"size": "sa", "h": "ha"}).join(h.withColumnsRenamed({"size": "sb", "h": "hb"}), [*keys, "node"]).where("sa <= sb")
+    met = F.when(F.col("sa") == F.col("sb"), F.col("ha") * (F.col("ha") - 1) / 2).otherwise(F.col("ha") * F.col("hb"))
+    o = hh.groupBy(*keys).agg(F.sum(met / (F.col("sa") + F.col("sb") - 1)).alias("js"))
+    again = pr.join(x.where("c > 1").drop("c"), [*keys, "a", "z"], "left_semi")
+    two = again.withColumnsRenamed({"edge": "ea", "size": "sa"}).join(again.withColumnsRenamed({"edge": "eb", "size": "sb"}), [*keys, "a", "z"]).where("ea < eb").groupBy(*keys, "ea", "eb", "sa", "sb").agg(F.count(F.lit(1)).alias("p"))
+    c, both = F.round((1 + F.sqrt(1 + 8 * F.col("p"))) / 2), F.col("sa") + F.col("sb")
+    more = two.groupBy(*keys).agg(F.sum(c / (both - c) - c / (both - 1)).alias("more"))
 
     def link(a: DataFrame, c: DataFrame) -> DataFrame:
         return a.join(c, keys, "left") if keys else a.crossJoin(F.broadcast(c))
 
-    t = link(link(link(base, rep), pairs), o)
+    t = link(link(link(link(base, rep), pairs), o), more)
     n, e = F.col("n"), F.col("m")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return t.select(*keys, (F.col("cells") / (n * e)).alias("density"), (F.col("cells") / e).alias("avg_size"), F.coalesce(F.col("js"), F.lit(0.0)).__truediv__(e * (e - 1) / 2).alias("avg_jaccard"), (zero("pairs") / (n * (n - 1) / 2)).alias("participation"), zero("repeated_edges").alias("repeated_edges"), zero("repeated_pairs").alias("repeated_pairs"))
+    return t.select(*keys, (F.col("cells") / (n * e)).alias("density"), (F.col("cells") / e).alias("avg_size"), ((F.coalesce("js", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))) / (e * (e - 1) / 2)).alias("avg_jaccard"), (zero("pairs") / (n * (n - 1) / 2)).alias("participation"), zero("repeated_edges").alias("repeated_edges"), zero("repeated_pairs").alias("repeated_pairs"))
 
 
 def configuration_draws(m: DataFrame, n: int, seed: int = 1) -> DataFrame:
@@ -282,7 +290,7 @@ def null_test(m: DataFrame, n: int = 99, seed: int = 1) -> DataFrame:
     names = ["density", "avg_size", "avg_jaccard", "participation", "repeated_edges", "repeated_pairs"]
     tall = lambda df, *k: df.select(*k, F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("v")) for s in names])).alias("x")).select(*k, "x.*")
     obs = tall(null_statistics(m)).withColumnRenamed("v", "observed")
-    nul = tall(null_statistics(configuration_draws(m, n, seed), ["replicate"]), "replicate")
+    nul = tall(null_statistics(cut(configuration_draws(m, n, seed)), ["replicate"]), "replicate")
     j = nul.join(F.broadcast(obs), "statistic").groupBy("statistic", "observed").agg(F.avg("v").alias("null_mean"), F.stddev_samp("v").alias("null_sd"), F.sum((F.col("v") >= F.col("observed")).cast("int")).alias("ge"), F.sum((F.col("v") <= F.col("observed")).cast("int")).alias("le"))
     p = F.least(F.lit(1.0), 2 * (1 + F.least("ge", "le")) / F.lit(n + 1))
     return j.select("statistic", "observed", "null_mean", "null_sd", ((F.col("observed") - F.col("null_mean")) / F.nullif("null_sd", F.lit(0.0))).alias("z"), p.alias("p_value"))
