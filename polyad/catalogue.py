@@ -368,15 +368,11 @@ def component_table(spark, d):
 DUE = "b as (select distinct cast(l_suppkey as varchar) node, cast(l_orderkey as varchar) edge from lineitem where l_quantity >= 45)"
 
 
-def _large_lines(spark, d):
-    return H.groups(table(spark, d, "lineitem").where("l_quantity >= 45"), "l_suppkey", "l_orderkey")
-
-
 @query(f"""with {DUE}, {PAIRS}, p as (select distinct node_a, node_b from pr), s as (select node_a node, node_b o from p union all select node_b, node_a from p), k as (select node, count(*) k from s group by all),
 t as (select x.node, count(*) n from s x join s y on x.node = y.node and x.o < y.o join p on p.node_a = x.o and p.node_b = y.o group by all)
 select distinct b.node, round(case when k >= 2 then coalesce(n, 0) / (k * (k - 1) / 2) end, 6) as transitivity from b left join k using (node) left join t using (node)""")
 def transitivity_projection(spark, d):
-    return rounded(S.projection_transitivity(_large_lines(spark, d)), "transitivity")
+    return rounded(S.projection_transitivity(supplier_orders(spark, d)), "transitivity")
 
 
 def _two_node(kind: str, below: str):
@@ -385,7 +381,7 @@ v as (select node_a, node_b, n / ({below}) v from c join dg a on a.node = node_a
 h as (select node_a node, v from v union all select node_b, v from v) select dg.node, round(avg(v), 6) as transitivity from dg left join h using (node) group by dg.node"""
 
     def run(spark, d):
-        return rounded(S.pair_transitivity(_large_lines(spark, d), kind), "transitivity")
+        return rounded(S.pair_transitivity(supplier_orders(spark, d), kind), "transitivity")
 
     run.__name__ = f"transitivity_two_node_{kind}"
     query(sql)(run)
@@ -517,7 +513,7 @@ def pagerank_8_rounds(spark, d):
 s as (select x.node i, y.node j, sum(x.v * y.v / x.size) s from v x join v y on x.edge = y.edge and x.node <= y.node group by all)
 select i, j, round(case when i = j then 1 else 0 end - s, 6) as value from s""")
 def laplacian_zhou(spark, d):
-    return rounded(P.laplacian(_large_lines(spark, d)), "value")
+    return rounded(P.laplacian(supplier_orders(spark, d)), "value")
 
 
 def _katz_sql(alpha: float, n: int) -> str:
@@ -532,7 +528,7 @@ def _katz_sql(alpha: float, n: int) -> str:
 
 @query(_katz_sql(0.01, 6))
 def katz_6_terms(spark, d):
-    return rounded(P.katz(_large_lines(spark, d), 0.01, iterations=6, tol=0.0), "katz", digits=9)
+    return rounded(P.katz(supplier_orders(spark, d), 0.01, iterations=6, tol=0.0), "katz", digits=9)
 
 
 def _spread_sql(n: int, xi: float) -> str:
@@ -558,12 +554,12 @@ def clique_eigenvector(spark, d):
 
 @query()
 def tensor_centrality_z(spark, d):
-    return P.tensor_centrality(_large_lines(spark, d), "Z", iterations=16)
+    return P.tensor_centrality(supplier_orders(spark, d), "Z", iterations=16)
 
 
 @query()
 def spectral_clusters(spark, d):
-    return P.spectral_clusters(_large_lines(spark, d), 4)
+    return P.spectral_clusters(supplier_orders(spark, d), 4)
 
 
 @query("""with v as (select cast(vec_id as varchar) node, cast(label as varchar) cluster, list_transform(embedding, lambda x: x::double) e from embeddings),
@@ -840,17 +836,17 @@ def mediated_graph(spark, d):
 
 @query()
 def coclusters(spark, d):
-    return L.cocluster(_large_lines(spark, d), 3)
+    return L.cocluster(supplier_orders(spark, d), 3)
 
 
 @query()
 def block_model(spark, d):
-    return L.block_model(_large_lines(spark, d), 3, starts=2, rounds=40)
+    return L.block_model(supplier_orders(spark, d), 3, starts=2, rounds=40)
 
 
 @query()
 def symmetric_nmf_clusters(spark, d):
-    return L.symmetric_nmf(_large_lines(spark, d), 3, starts=2)
+    return L.symmetric_nmf(supplier_orders(spark, d), 3, starts=2)
 
 
 @query(rf"""with {TOKENS}, {CLUSTERS}, c as (select cluster, word, cast(sum(count) as double) c from counts join cl using (doc) group by all), tp as (select cluster, word from c qualify row_number() over (partition by cluster order by c desc, word) <= 10),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyad.errors import BadInput, DenseTooLarge
-from polyad.operators.spectral import _dense, kmeans, spectral_clusters
+from polyad.operators.spectral import MAX_DENSE, _dense, kmeans, spectral_clusters
 from polyad.plans.session import cut
 
 MAX_CELLS = 2_000_000
@@ -26,12 +26,25 @@ def cocluster(m: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """(kind, name, cluster): nodes and edges together, by k-means on the scaled singular vectors of
     D_r^-1/2 B D_c^-1/2 after the first, ceil(log2 k) of them. On the driver within a guard."""
     nodes, edges, i, j, w = _cells(m)
-    if len(nodes) * len(edges) > 50_000_000:
-        raise DenseTooLarge("the matrix has more than 50 million cells")
-    b = np.zeros((len(nodes), len(edges)))
-    b[i, j] = w
-    r, c = b.sum(1), b.sum(0)
-    u, _, v = np.linalg.svd(b / np.sqrt(r)[:, None] / np.sqrt(c)[None, :], full_matrices=False)
+    if min(len(nodes), len(edges)) > MAX_DENSE:
+        raise DenseTooLarge(f"more than {MAX_DENSE} nodes and edges")
+    r, c = np.bincount(i, w, len(nodes)), np.bincount(j, w, len(edges))
+    x = w / np.sqrt(r[i]) / np.sqrt(c[j])
+    flip = len(nodes) > len(edges)
+    p, q, n, m_ = (j, i, len(edges), len(nodes)) if flip else (i, j, len(nodes), len(edges))
+    order = np.argsort(q, kind="stable")
+    p, q, x = p[order], q[order], x[order]
+    g = np.zeros((n, n))
+    for a in range(0, m_, 2000):  # the longer side in blocks, so that the matrix is never held whole
+        lo, hi = np.searchsorted(q, [a, a + 2000])
+        part = np.zeros((n, min(2000, m_ - a)))
+        part[p[lo:hi], q[lo:hi] - a] = x[lo:hi]
+        g += part @ part.T
+    val, vec = np.linalg.eigh(g)
+    short, s = vec[:, ::-1], np.sqrt(np.maximum(val[::-1], 1e-300))
+    top = min(max(1, int(np.ceil(np.log2(k)))) + 1, n)
+    long = np.stack([np.bincount(q, x * short[p, t], m_) / s[t] for t in range(top)], 1)
+    u, v = (long, short[:, :top].T) if flip else (short[:, :top], long.T)
     d = max(1, int(np.ceil(np.log2(k))))
     u, v = u[:, 1 : d + 1], v[1 : d + 1].T
     sign = np.sign(u[np.abs(u).argmax(0), range(u.shape[1])])

@@ -64,3 +64,37 @@ def test_null_statistics_of_replicates_with_large_overlaps(spark):
     m = spark.createDataFrame([(k, n, e) for k, es in made.items() for e, ns in es.items() for n in ns], "replicate int, node string, edge string")
     for r in S.null_statistics(m, ["replicate"]).collect():
         assert np.allclose(list(r)[1:], brute_null(made[r["replicate"]]))
+
+
+def test_supplier_measures_of_all_lines(spark, lines):
+    edges = members(1)
+    own = {n: {e for e, ns in edges.items() if n in ns} for n in set().union(*edges.values())}
+    near = {n: set().union(*(edges[e] for e in es)) - {n} for n, es in own.items()}
+    closed = {n: sum(b in near[a] for a, b in combinations(o, 2)) for n, o in near.items()}
+    want = {n: round(closed[n] / (len(o) * (len(o) - 1) / 2), 6) if len(o) > 1 else None for n, o in near.items()}
+    assert dict(map(tuple, Q.transitivity_projection(spark, lines).collect())) == want
+    for kind, below in (("union", lambda a, b: len(a | b)), ("min", lambda a, b: min(len(a), len(b))), ("max", lambda a, b: max(len(a), len(b)))):
+        want = {n: round(np.mean([len(own[n] & own[o]) / below(own[n], own[o]) for o in os]), 6) if os else None for n, os in near.items()}
+        got = dict(map(tuple, Q.QUERIES[f"transitivity_two_node_{kind}"](spark, lines).collect()))
+        assert got.keys() == want.keys() and all(np.isclose(got[n] or 0, v or 0, atol=2e-6) for n, v in want.items())
+
+
+def test_laplacian_of_all_lines(spark, lines):
+    edges = members(1)
+    nodes = sorted(set().union(*edges.values()))
+    h = np.array([[n in e for e in edges.values()] for n in nodes], float)
+    d, k = h.sum(1), h.sum(0)
+    want = np.eye(len(nodes)) - h / np.sqrt(d)[:, None] / k @ (h / np.sqrt(d)[:, None]).T
+    for r in Q.laplacian_zhou(spark, lines).collect():
+        assert np.isclose(r["value"], want[nodes.index(r["i"]), nodes.index(r["j"])], atol=1e-6)
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_coclusters_of_a_wide_and_of_a_tall_matrix(spark, wide):
+    from polyad.operators import factor as L
+
+    cells = [(f"n{i:05d}", f"e{j:05d}", 1.0) for i in range(8) for j in range(6000) if (i < 4) == (j < 3000) and (7 * i + 3 * j) % 5 or (i, j) in ((0, 4000), (1, 4001))]
+    m = spark.createDataFrame([(a, b, w) if wide else (b, a, w) for a, b, w in cells], "node string, edge string, weight double")
+    got = {r["name"]: r["cluster"] for r in L.cocluster(m, 2).collect()}
+    assert len(got) == 6008 and all(len({c for x, c in got.items() if x[0] == "n" and (int(x[1:]) < 4) == half}) == 1 for half in (True, False))
+    assert got["n00000"] != got["n00007"] and got["e00000"] == got["n00000"] and got["e05999"] == got["n00007"]
