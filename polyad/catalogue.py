@@ -744,32 +744,32 @@ TRI = f"{CLIQUES}, tri as (select x.a, x.b, y.b c, least(x.w, y.w, z.w) f from t
 
 @query(f"with {TRI} select v as members, 0 as dimension, f as filtration from ve union all select a || '|' || b, 1, w from t union all select a || '|' || b || '|' || c, 2, f from tri")
 def clique_complex(spark, d):
-    return K.cliques(_strong_pairs(spark, d), 2).select(F.array_join("members", "|").alias("members"), "dimension", "filtration")
+    return K.cliques(_strong_pairs(spark, d), None).select(F.array_join("members", "|").alias("members"), "dimension", "filtration")
 
 
 @query(f"with {TRI} select 0 as dimension, count(*) as n from ve union all select 1, count(*) from t union all select 2, count(*) from tri having count(*) > 0")
 def clique_f_vector(spark, d):
-    return K.f_vector(K.cliques(_strong_pairs(spark, d), 2))
+    return K.f_vector(K.cliques(_strong_pairs(spark, d), None))
 
 
 @query(f"with {TRI} select (select count(*) from ve) - (select count(*) from t) + (select count(*) from tri) as euler")
 def clique_euler(spark, d):
-    return K.euler(K.cliques(_strong_pairs(spark, d), 2))
+    return K.euler(K.cliques(_strong_pairs(spark, d), None))
 
 
 @query(f"with {TRI} select v as node, 0 as dimension, 1 as n from ve union all select v, 1, count(*) from (select a v from t union all select b from t) group by v union all select v, 2, count(*) from (select a v from tri union all select b from tri union all select c from tri) group by v")
 def clique_degrees(spark, d):
-    return K.degrees(K.cliques(_strong_pairs(spark, d), 2))
+    return K.degrees(K.cliques(_strong_pairs(spark, d), None))
 
 
 @query()
 def clique_homology(spark, d):
-    return K.homology(K.cliques(_strong_pairs(spark, d), 2))
+    return K.homology(K.cliques(_strong_pairs(spark, d), None))
 
 
 @query()
 def clique_q_analysis(spark, d):
-    return K.q_analysis(K.cliques(_strong_pairs(spark, d), 2))
+    return K.q_analysis(K.cliques(_strong_pairs(spark, d), None))
 
 
 # ---- memory networks as graphs, factors, propagation --------------------------------------------

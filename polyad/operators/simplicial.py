@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,28 +15,36 @@ MAX_SIMPLICES = 50_000
 
 
 def close(sets: DataFrame, max_dim: int = 10) -> DataFrame:
-    """(members, dimension, count): member sets (members, count) of at most 16 members closed under
-    subsets; a face takes the largest count of the sets it lies in."""
-    s = sets.select(F.array_sort(F.array_distinct("members")).alias("m"), "count").where("size(m) between 1 and 16")
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("m")) - 1).cast("int"))
-    rows = s.select("m", "count", F.explode(masks).alias("k"))
-    rows = rows.select(F.filter("m", lambda x, i: F.pmod(F.floor(F.col("k") / F.pow(F.lit(2.0), i)), F.lit(2)) == 1).alias("members"), "count")
-    return rows.where(F.size("members") <= max_dim + 1).groupBy("members").agg(F.max("count").alias("count")).withColumn("dimension", F.size("members") - 1)
-
-
-def cliques(edges: DataFrame, max_dim: int = 3, ascending: bool = False, vertices: DataFrame | None = None) -> DataFrame:
-    """(members, dimension, filtration): all cliques of (a, b, weight), a < b, up to ``max_dim``. The
+    """(members, dimension, count): member sets (members, count) of any size closed under subsets
+    of at most ``max_dim`` + 1 members; a face takes the largest count of the sets it lies in."""
+    s = sets.select(F.array_sort(F.array_distinct("members")).alias("m"), "count").where("size(m) > 0")
+    layer = s.select("m", "count", F.posexplode("m").alias("i", "x")).select("m", "count", "i", F.array("x").alias("members"))
+    out = layer.select("members", "count")
+    for _ in range(max_dim):  # faces grow by a later member, as far as the sets go
+        layer = layer.where(F.col("i") < F.size("m") - 1).select("m", "count", "members", F.explode(F.sequence(F.col("i") + 1, F.size("m") - 1)).alias("i"))
+        layer = layer.select("m", "count", "i", F.concat("members", F.array(F.element_at("m", F.col("i") + 1))).alias("members"))
+        out = out.unionByName(layer.select("members", "count"))
+    return out.groupBy("members").agg(F.max("count").alias("count")).withColumn("dimension", F.size("members") - 1)
+
+
+def cliques(edges: DataFrame, max_dim: int | None = 3, ascending: bool = False, vertices: DataFrame | None = None) -> DataFrame:
+    """(members, dimension, filtration): all cliques of (a, b, weight), a < b, up to ``max_dim``, or with
+    None until there are no larger ones. The
     filtration of a simplex is its least weight, or with ``ascending`` (distances) its largest; that of
     a vertex is its strongest edge, or 0."""
     e = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("weight").cast("double").alias("w")).where("a < b")
     worst = F.greatest if ascending else F.least
     layer = e.select(F.array("a", "b").alias("members"), F.col("w").alias("f"))
     layers = [layer]
-    for k in range(2, max_dim + 1):
+    for k in count(2) if max_dim is None else range(2, max_dim + 1):
         j = layer.join(e, F.element_at("members", -1) == F.col("a")).select("members", "f", F.col("b").alias("x"))
         links = j.select("members", "f", "x", F.explode("members").alias("a")).join(e.select("a", F.col("b").alias("x"), "w"), ["a", "x"])
         g = links.groupBy("members", "x", "f").agg(F.count(F.lit(1)).alias("n"), (F.max("w") if ascending else F.min("w")).alias("w")).where(F.col("n") == k)
         layer = g.select(F.concat("members", F.array("x")).alias("members"), worst("f", "w").alias("f"))
+        if max_dim is None:
+            layer = cut(layer)
+            if layer.isEmpty():
+                break
         layers.append(layer)
     ends = e.select(F.explode(F.array("a", "b")).alias("v"), "w").groupBy("v").agg((F.lit(0.0) if ascending else F.max("w")).alias("f"))
     if vertices is not None:

@@ -98,3 +98,13 @@ def test_coclusters_of_a_wide_and_of_a_tall_matrix(spark, wide):
     got = {r["name"]: r["cluster"] for r in L.cocluster(m, 2).collect()}
     assert len(got) == 6008 and all(len({c for x, c in got.items() if x[0] == "n" and (int(x[1:]) < 4) == half}) == 1 for half in (True, False))
     assert got["n00000"] != got["n00007"] and got["e00000"] == got["n00000"] and got["e05999"] == got["n00007"]
+
+
+def test_complex_of_a_five_clique_and_faces_of_a_large_set(spark, tmp_path):
+    from polyad.operators import simplicial as K
+
+    spark.createDataFrame([(1, s, 1, 1.0) for s in range(5)], "l_partkey long, l_suppkey long, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r["dimension"]: r["n"] for r in Q.clique_f_vector(spark, str(tmp_path)).collect()} == {0: 5, 1: 10, 2: 10, 3: 5, 4: 1}
+    assert Q.clique_euler(spark, str(tmp_path)).first()[0] == 1
+    big = spark.createDataFrame([([f"v{i:02d}" for i in range(18)], 2)], "members array<string>, count int")
+    assert {r["dimension"]: r["n"] for r in K.f_vector(K.close(big, 2)).collect()} == {0: 18, 1: 153, 2: 816}
