@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from polyad.errors import MissingColumn
 
@@ -49,6 +49,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A side of a join is broadcast only if it has at most this many rows; callers hold rows narrow.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, so that the join
+    shuffles. ``df`` is counted for that, up to the bound; it should be cheap or materialised."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -57,17 +67,3 @@ def need(df: DataFrame, *columns: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def q(name: str) -> str:
-    """Quote a column name for use in an expression string."""
-    return "`" + name.replace("`", "``") + "`"
-
-
-def same(left: Sequence[str], a: DataFrame, b: DataFrame):
-    """Null-safe equality on ``left``, for joins on keys that may be null."""
-    cond = None
-    for c in left:
-        one = a[c].eqNullSafe(b[c])
-        cond = one if cond is None else cond & one
-    return cond
