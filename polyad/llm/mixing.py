@@ -9,28 +9,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyad.llm import tokens
-from polyad.plans.session import cut, need
+from polyad.plans.session import bounded, cut, need
 
 #: Target tables with more rows are refused; they are hand-made reference data.
 MAX_TARGETS = 1000
-#: Blocks of the whole mix at most, so that the apportionment on the driver has a bound.
-MAX_BLOCKS = 20_000
-#: Documents per shard aimed at, and shards at most.
-SHARD_DOCS, MAX_SHARDS = 20_000, 1024
+#: Tokens of a block at most; small mixes have smaller blocks, so that there are at least FINE of them.
+BLOCK_TOKENS, FINE = 65_536, 20_000
+#: Documents per shard aimed at, and shards of a source at most: what the driver sees has this bound.
+SHARD_DOCS, MAX_SHARDS = 50_000, 16_384
 
 
 def sainte_lague(weights: list[float], seats: int, caps: list[int]) -> list[int]:
     """Seats by highest quotients weight / (2 k + 1), ties by position, never above a cap; seats
-    that no one can take stay empty."""
-    got = [0] * len(weights)
-    heap = [(-Fraction(w), i) for i, w in enumerate(weights) if w > 0 and caps[i] > 0]
+    that no one can take stay empty. All quotients above a divisor are dealt at once and only the
+    last few one by one, so the work does not grow with the number of seats."""
+    exact = [Fraction(w) if w > 0 else Fraction(0) for w in weights]
+    least = [(w, c) for w, c in zip(exact, caps, strict=True) if w and c > 0]
+    if not least or seats <= 0:
+        return [0] * len(weights)
+    if sum(c for _, c in least) <= seats:
+        return [c if w else 0 for w, c in zip(exact, caps, strict=True)]
+
+    def dealt(divisor: Fraction) -> list[int]:  # seats with weight / (2 k + 1) > divisor
+        return [max(0, min(c, -(-(w / divisor - 1) // 2))) if w else 0 for w, c in zip(exact, caps, strict=True)]
+
+    low, high = Fraction(min(float(w) for w, _ in least)) / (4 * seats + 4), max(w for w, _ in least)
+    while sum(dealt(low)) < seats:
+        low /= 16
+    for _ in range(80):  # the largest divisor that deals no more than the seats, near enough
+        mid = Fraction((float(low) + float(high)) / 2)
+        if not low < mid < high:
+            break
+        low, high = (mid, high) if sum(dealt(mid)) > seats else (low, mid)
+    got = [int(x) for x in dealt(high)]
+    heap = [(-w / (2 * g + 1), i) for i, (w, g) in enumerate(zip(exact, got, strict=True)) if w and g < caps[i]]
     heapq.heapify(heap)
-    while seats > 0 and heap:
+    for _ in range(seats - sum(got)):
         _, i = heapq.heappop(heap)
         got[i] += 1
-        seats -= 1
         if got[i] < caps[i]:
-            heapq.heappush(heap, (-Fraction(weights[i]) / (2 * got[i] + 1), i))
+            heapq.heappush(heap, (-exact[i] / (2 * got[i] + 1), i))
     return got
 
 
@@ -76,9 +94,12 @@ def mix_sources(documents: DataFrame, targets: DataFrame, ident: str = "doc_id",
 
     The mix is cut into equal-token blocks, which Sainte-Lague apportionment gives to the sources
     and, within a source, to shards of its documents by their tokens; the quotas are integers. In a
-    shard documents lie in seeded order; every full pass over it is one copy of all its documents,
-    and the rest of the quota goes to blocks drawn by a seeded hash. The driver sees sums per source
-    and shard only (MAX_TARGETS * MAX_SHARDS at most); a large source has many shards.
+    shard documents lie in seeded order, cut into blocks; every full pass over it is one copy of all
+    its documents, and the rest of the quota goes to its blocks in the order of a seeded hash. A
+    document longer than a block takes as many seats as it fills, if it still finds them; the
+    others then fill what is left to within one of them, so that long texts shift no share; where
+    they would run out, long ones that were passed over are taken before them, by size.
+    The driver sees sums per source and shard only; a large source has many shards.
     """
     need(documents, ident, source, text)
     need(targets, "source", "target_share", "max_repeats")
@@ -106,25 +127,39 @@ def mix_sources(documents: DataFrame, targets: DataFrame, ident: str = "doc_id",
     if not live:
         return Mix(sized.select("*", F.lit(0).alias("copies")).limit(0), plan, 0, 0)
     total = int(total_tokens or min(t["tokens"] * t["repeats"] * weight / t["share"] for t in live))
-    block = max(1, total // MAX_BLOCKS, 2 * all_tokens // n_docs)
-    seats = total // block
-    shards = min(MAX_SHARDS, max(1, n_docs // SHARD_DOCS))
-    sharded = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int"))
+    block = max(1, min(BLOCK_TOKENS, max(total // FINE, 2 * all_tokens // n_docs)))
+    shards = {t["source"]: min(MAX_SHARDS, max(1, t["docs"] // SHARD_DOCS)) for t in live}
+    of = F.create_map(*[F.lit(x) for kv in sorted(shards.items()) for x in kv])
+    sharded = sized.where(F.col("source").isin(sorted(shards))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), of[F.col("source")]).cast("int"))
     sums = sharded.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect()
     by_source: dict[str, list] = {}
     for r in sorted(sums, key=lambda r: (r["source"], r["shard"])):
-        by_source.setdefault(r["source"], []).append((r["shard"], r["t"], max(1, round(r["t"] / block))))
-    caps = [sum(nb for _, _, nb in by_source[t["source"]]) * t["repeats"] for t in live]
+        by_source.setdefault(r["source"], []).append((r["shard"], r["t"]))
+    most = [[-(-tok * t["repeats"] // block) for _, tok in by_source[t["source"]]] for t in live]
     rows = []
-    for t, quota in zip(live, sainte_lague([t["share"] for t in live], seats, caps), strict=True):
+    for t, quota, caps in zip(live, sainte_lague([t["share"] for t in live], total // block, [sum(c) for c in most]), most, strict=True):
         t["quota"], own = quota, by_source[t["source"]]
-        parts = sainte_lague([x[1] for x in own], quota, [x[2] * t["repeats"] for x in own])
-        rows += [(t["source"], shard, tok, nb, q // nb, q % nb) for (shard, tok, nb), q in zip(own, parts, strict=True)]
-    quotas = spark.createDataFrame(rows, "source string, shard int, shard_tokens long, n_blocks int, passes int, extra int")
-    nth = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: F.struct(F.xxhash64(F.lit(seed), "source", "shard", b).alias("h"), b.alias("b"))))
-    quotas = quotas.withColumn("drawn", F.transform(F.slice(nth, 1, F.col("extra")), lambda x: x["b"])).drop("extra")
-    w = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sharded.withColumn("at", F.sum("n_tokens").over(w) - F.col("n_tokens"))
-    j = placed.join(F.broadcast(quotas), ["source", "shard"])
-    b = F.least(F.col("n_blocks") - 1, F.floor(F.col("at") * F.col("n_blocks") / F.col("shard_tokens")).cast("int"))
-    return Mix(j.withColumn("copies", F.col("passes") + F.array_contains("drawn", b).cast("int")), plan, total, block)
+        for (shard, tok), q in zip(own, sainte_lague([x[1] for x in own], quota, caps), strict=True):
+            passes, rest = divmod(min(q * block, tok * t["repeats"]), tok)
+            rows.append((t["source"], shard, tok, -(-tok // block), passes, rest))
+    quotas = spark.createDataFrame(rows, "source string, shard int, shard_tokens long, n_blocks long, passes int, rest long")
+    in_shard = Window.partitionBy("source", "shard")
+    upto = (Window.unboundedPreceding, 0)
+    placed = sharded.withColumn("at", F.sum("n_tokens").over(in_shard.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(*upto)) - F.col("n_tokens"))
+    placed = placed.join(bounded(quotas), ["source", "shard"]).withColumn("b", F.floor(F.col("at") / F.col("shard_tokens") * F.col("n_blocks")))
+    drawn = in_shard.orderBy(F.xxhash64(F.lit(seed), "source", "shard", "b"), "b", "at", "doc_id").rowsBetween(*upto)
+    long = F.col("n_tokens") > block
+    placed = placed.withColumns({"all": F.sum("n_tokens").over(drawn), "short": F.sum(F.when(long, 0).otherwise(F.col("n_tokens"))).over(drawn)})
+    first = long & (F.col("all") <= F.col("rest"))
+    by_size = in_shard.orderBy(F.when(long & ~first, F.col("n_tokens")).asc_nulls_last(), "b", "at", "doc_id").rowsBetween(*upto)
+    placed = placed.withColumns({
+        "taken": F.coalesce(F.sum(F.when(first, F.col("n_tokens"))).over(in_shard), F.lit(0)),
+        "shorts": F.sum(F.when(long, 0).otherwise(F.col("n_tokens"))).over(in_shard),
+        "late": F.sum(F.when(long & ~first, F.col("n_tokens")).otherwise(0)).over(by_size),
+    })
+    # where the short ones cannot fill what is left, long ones that were passed over come first, by size
+    open_ = F.col("rest") - F.col("taken")
+    second = long & ~first & (F.col("late") - F.col("n_tokens") < open_ - F.col("shorts")) & (F.col("late") <= open_)
+    placed = placed.withColumn("second", second).withColumn("also", F.sum(F.when(F.col("second"), F.col("n_tokens")).otherwise(0)).over(in_shard))
+    extra = F.when(long, first | F.col("second")).otherwise(F.col("short") <= open_ - F.col("also"))
+    return Mix(placed.withColumn("copies", F.col("passes") + extra.cast("int")), plan, total, block)
