@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyad.plans import hot
-from polyad.plans.session import cut, need
+from polyad.plans.session import bounded, cut, need
 
 
-def periods_and_gaps(spells: DataFrame, keys: list[str], start: str = "start", end: str = "end", observed_until: str | None = None, floor_rows: int = hot.FLOOR_ROWS) -> DataFrame:
+def periods_and_gaps(spells: DataFrame, keys: list[str], start: str = "start", end: str = "end", observed_until: str | None = None, rows_per_task: int = hot.ROWS_PER_TASK) -> DataFrame:
     """(keys..., kind, start, end, n_open): one row per continuous period and per gap between two
     consecutive periods of a key; ``n_open`` is the number of spells open right after the row's start.
 
@@ -32,7 +32,7 @@ def periods_and_gaps(spells: DataFrame, keys: list[str], start: str = "start", e
     if observed_until:
         s = s.withColumn("e", F.least(F.coalesce("e", until), until))
     s = s.where("e >= s").withColumns({"s": F.unix_micros("s"), "e": F.unix_micros("e")})
-    cuts = hot.hot_cuts(s, own, "s", floor_rows)
+    cuts = hot.hot_cuts(s, own, "s", rows_per_task)
     ev = s.select(*own, F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("e").alias("at"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x")).select(*own, "x.*")
     ev = hot.with_parts(ev, own, "at", cuts)
     if cuts is not None:
@@ -45,7 +45,7 @@ def periods_and_gaps(spells: DataFrame, keys: list[str], start: str = "start", e
         over = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         carry = ev.where("_hot").groupBy(*own, "_part").agg(F.sum(F.col("up") - F.col("down")).alias("net"))
         carry = carry.select(*own, "_part", F.coalesce(F.sum("net").over(over), F.lit(0)).alias("carry"))
-        ev = ev.join(F.broadcast(carry), [*own, "_part"], "left")
+        ev = ev.join(bounded(carry), [*own, "_part"], "left")
     else:
         ev = ev.withColumn("carry", F.lit(None).cast("long"))
     w = Window.partitionBy(*own, "_part").orderBy("at")
@@ -57,7 +57,7 @@ def periods_and_gaps(spells: DataFrame, keys: list[str], start: str = "start", e
         after = Window.partitionBy(*own).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
         firsts = b.where("_hot").groupBy(*own, "_part").agg(F.min("at").alias("at"))
         firsts = firsts.select(*own, "_part", F.min("at").over(after).alias("later"))
-        b = b.join(F.broadcast(firsts), [*own, "_part"], "left").withColumn("next", F.coalesce("next", "later"))
+        b = b.join(bounded(firsts), [*own, "_part"], "left").withColumn("next", F.coalesce("next", "later"))
     period = F.when(F.col("starts"), F.struct(F.lit("period").alias("kind"), F.col("at").alias("a"), F.when(F.col("ends"), F.col("at")).otherwise(F.col("next")).alias("z"), F.when(F.col("ends"), F.col("up")).otherwise(F.col("after")).alias("n")))
     gap = F.when(F.col("ends") & F.col("next").isNotNull(), F.struct(F.lit("gap").alias("kind"), F.col("at").alias("a"), F.col("next").alias("z"), F.lit(0).cast("long").alias("n")))
     out = b.select(*own, F.explode(F.filter(F.array(period, gap), lambda x: x.isNotNull())).alias("x"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,52 +16,85 @@ from polyad.plans.session import cut, need
 GAP_SECONDS = 900
 
 
-class SessionTimers:
-    """The keyed timer of the session operator, fed with events in order.
+class Session(NamedTuple):
+    """What a timer keeps of an open session; constant, however many events it has."""
+
+    start: int
+    end: int
+    first_id: int
+    last_id: int
+    n: int
+
+    def deadline(self, gap: int) -> int:
+        """When the inactivity timer, reset by the last event, expires."""
+        return self.end + gap
+
+
+def merge(sessions: list[Session], gap: int) -> list[Session]:
+    """Sessions in order; a session whose events begin before the timer of the one before it
+    expires goes on with it, so that late events join or bridge open sessions."""
+    out: list[Session] = []
+    for s in sorted(sessions):
+        if out and s.start <= out[-1].deadline(gap):
+            o = out[-1]
+            first, last = min((o.start, o.first_id), (s.start, s.first_id)), max((o.end, o.last_id), (s.end, s.last_id))
+            out[-1] = Session(first[0], last[0], first[1], last[1], o.n + s.n)
+        else:
+            out.append(s)
+    return out
+
 
-    An event opens a session or resets the timer of the open one to its own time plus ``gap``;
-    an event of another key, or one later than the timer, makes the timer fire, which emits the
-    session. Only one key is open at a time because input is ordered by key, so state is
-    constant. The batch operator feeds whole Arrow batches; ``polyad.streaming.sessions`` keeps
-    one such timer per key in the state store of a stream.
+def expired(sessions: list[Session], gap: int, now: int) -> tuple[list[Session], list[Session]]:
+    """(fired, open): the timers that have expired at ``now``, and the others."""
+    return [s for s in sessions if s.deadline(gap) < now], [s for s in sessions if s.deadline(gap) >= now]
+
+
+class SessionTimers:
+    """Inactivity timers of keys, driven by events ordered by (key, time, id).
+
+    An event opens a session and arms the key's timer at its time plus ``gap``; a further event
+    that comes no later than that resets it. The next event of the input is the clock: if it is
+    later than the timer, or of another key, the timer has expired and emits the session's final
+    start, end and count. One timer runs at a time, as input is ordered by key, so state is one
+    ``Session``. Arrow batches are fed whole: all timers that the events of a batch arm are compared
+    with the clock at once. The stream operator keeps the same ``Session`` in its state store.
     """
 
     def __init__(self, gap: int):
-        self.gap, self.open, self.fired = gap, None, 0
+        self.gap = gap
+        self.key: str | None = None
+        self.open: Session | None = None
 
     def feed(self, key: pa.Array, at: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
-        """Columns (key, first_at, last_at, first_id, last_id, n) of the sessions that end."""
+        """Columns (key, first_at, last_at, first_id, last_id, n) of the sessions whose timers expire."""
         n = len(at)
         if not n:
             return
-        brk = np.ones(n, bool)
+        timer = at + self.gap  # armed or reset by each event
+        fires = np.ones(n, bool)  # ... and expired before the event after it
         if n > 1:
             other = pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            brk[1:] = other | (np.diff(at) > self.gap)
-        if self.open:
-            brk[0] = key[0].as_py() != self.open[0] or at[0] - self.open[2] > self.gap
-        starts = np.flatnonzero(brk)
-        ends = np.append(starts[1:], n) - 1
-        if not brk[0]:  # the open session goes on
-            upto = int(starts[0]) - 1 if len(starts) else n - 1
-            k, a, _, i, _, m = self.open
-            self.open = (k, a, int(at[upto]), i, int(ids[upto]), m + upto + 1)
-        if len(starts):
-            if self.open:
-                yield self._columns([self.open])
-            yield (key.take(pa.array(starts[:-1])), at[starts[:-1]], at[ends[:-1]], ids[starts[:-1]], ids[ends[:-1]], np.diff(starts))
-            s = int(starts[-1])
-            self.open = (key[s].as_py(), int(at[s]), int(at[-1]), int(ids[s]), int(ids[-1]), n - s)
+            fires[:-1] = other | (at[1:] > timer[:-1])
+        resumed = self.open if self.open and key[0].as_py() == self.key and at[0] <= self.open.deadline(self.gap) else None
+        if self.open and not resumed:
+            yield from self.close()
+        ends = np.flatnonzero(fires)  # the last timer of the batch still runs
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        first_at, first_id, count = at[starts].copy(), ids[starts].copy(), ends - starts + 1
+        if resumed:
+            first_at[0], first_id[0] = resumed.start, resumed.first_id
+            count[0] += resumed.n
+        e = int(ends[-1])
+        self.key, self.open = key[e].as_py(), Session(int(first_at[-1]), int(at[e]), int(first_id[-1]), int(ids[e]), int(count[-1]))
+        done = ends[:-1]
+        yield key.take(pa.array(done)), first_at[:-1], at[done], first_id[:-1], ids[done], count[:-1]
 
     def close(self) -> Iterator[tuple]:
+        """The end of input expires the timer that still runs."""
         if self.open:
-            yield self._columns([self.open])
-        self.open = None
-
-    @staticmethod
-    def _columns(rows: list[tuple]) -> tuple:
-        k, *rest = zip(*rows, strict=True)
-        return (pa.array(k, pa.string()), *(np.array(x, np.int64) for x in rest))
+            s = self.open
+            yield (pa.array([self.key], pa.string()), *(np.array([x], np.int64) for x in (s.start, s.end, s.first_id, s.last_id, s.n)))
+        self.key = self.open = None
 
 
 _PIECE = "entity string, first_us long, last_us long, first_event_id long, last_event_id long, n_events long, edge boolean"

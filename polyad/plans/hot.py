@@ -1,8 +1,9 @@
-"""Splitting hot groups by order, so that no group has to fit one task.
+"""Splitting large groups by order, so that no group has to fit one task.
 
-Window functions need a whole group in one partition. A key that holds a large share of the
-rows is therefore cut along its order column into parts; operators work on (key, part) and
-then settle what crosses a cut from one or two rows a part.
+Window functions need a whole group in one partition. A key with more rows than a task should
+take is therefore cut along its order column into parts of about that many rows, however large
+the key; operators work on (key, part) and then settle what crosses a cut from one or two rows
+a part.
 """
 
 from __future__ import annotations
@@ -10,35 +11,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keys with fewer rows than this are never cut.
-FLOOR_ROWS = 500_000
-#: A key is hot if it has more than 1/HOT_SHARE of all rows, so there are fewer hot keys than this.
-HOT_SHARE = 2048
-PARTS = 64
-
-
-def hot_cuts(raw: DataFrame, keys: list[str], order: str, floor_rows: int = FLOOR_ROWS, parts: int = PARTS) -> DataFrame | None:
-    """Cut points of the hot keys of ``raw``: (keys..., _cuts array of the order column), or
-    None if no key is hot. ``raw`` should be a cheap scan. The result has fewer than HOT_SHARE
-    rows of at most ``parts`` numbers each, whatever the input's size."""
-    spark = raw.sparkSession
-    least = max(floor_rows, raw.count() // HOT_SHARE)
-    hot = raw.groupBy(*keys).count().where(F.col("count") > least).select(*keys).collect()
-    if not hot:
+from polyad.plans.session import bounded, cut
+
+#: Rows of one key that a task should take.
+ROWS_PER_TASK = 500_000
+
+
+def hot_cuts(raw: DataFrame, keys: list[str], order: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+    """Cut points of the keys of ``raw`` with more than ``rows_per_task`` rows: (keys..., _cuts array
+    of the order column), or None if there are none. A key of n rows gets the power of two of parts
+    that brings a part to at most ``rows_per_task`` rows, so there are fewer cuts in all than twice
+    the rows over ``rows_per_task``. ``raw`` should be a cheap scan. Only the numbers of parts
+    that occur, a few powers of two, come to the driver."""
+    counted = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_n") / rows_per_task))).cast("int")
+    hot = cut(counted.select(*keys, parts.alias("_parts")))
+    sizes = [r["_parts"] for r in hot.select("_parts").distinct().collect()]
+    if not sizes:
         return None
-    wanted = F.broadcast(spark.createDataFrame(hot, raw.select(*keys).schema))
-    share = [i / parts for i in range(1, parts)]
-    cuts = raw.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(order, share, 1000).alias("_cuts")).collect()
-    schema = raw.select(*keys, F.array(order).alias("_cuts")).schema
-    rows = [(*[r[k] for k in keys], sorted(set(r["_cuts"]))) for r in cuts]
-    return spark.createDataFrame(rows, schema)
+    rows = raw.join(bounded(hot), keys)
+    found = [F.percentile_approx(F.when(F.col("_parts") == p, F.col(order)), [i / p for i in range(1, p)], max(1000, 8 * p)) for p in sorted(sizes)]
+    return cut(rows.groupBy(*keys).agg(F.array_distinct(F.coalesce(*found)).alias("_cuts")))
 
 
 def with_parts(df: DataFrame, keys: list[str], order: str, cuts: DataFrame | None) -> DataFrame:
-    """Add ``_part`` (0 for keys that are not hot) and ``_hot``. Rows with equal order value
+    """Add ``_part`` (0 for keys that are not split) and ``_hot``. Rows with equal order value
     are never parted."""
     if cuts is None:
         return df.withColumns({"_part": F.lit(0), "_hot": F.lit(False)})
-    joined = df.join(F.broadcast(cuts), keys, "left")
+    joined = df.join(bounded(cuts), keys, "left")
     part = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     return joined.withColumns({"_part": F.when(F.col("_cuts").isNull(), 0).otherwise(part), "_hot": F.col("_cuts").isNotNull()}).drop("_cuts")

@@ -53,7 +53,7 @@ def test_against_brute_force(spark):
 def test_hot_keys_are_cut_without_loss(spark):
     rows = [r for r in rows_of(2) if r[3] is not None]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = periods_and_gaps(df, ["actor", "group"], observed_until="2030-01-01 00:00:00", floor_rows=100)
+    got = periods_and_gaps(df, ["actor", "group"], observed_until="2030-01-01 00:00:00", rows_per_task=100)
     assert found(got) == brute(rows, dt.datetime(2030, 1, 1))
 
 
