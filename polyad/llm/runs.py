@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyad.plans import hot
-from polyad.plans.session import cut, need
+from polyad.plans.session import bounded, cut, need
 
 #: A codebook is hand-made reference data; more entries than this are refused.
 MAX_CODEBOOK = 5000
@@ -75,7 +75,7 @@ def resolve_code(text: Column, codebook: DataFrame) -> Column:
     return F.coalesce(hit, slip)
 
 
-def collapse_runs(turns: DataFrame, key: str, at: str, ident: str, code: str, codebook: DataFrame | None = None, floor_rows: int = hot.FLOOR_ROWS) -> DataFrame:
+def collapse_runs(turns: DataFrame, key: str, at: str, ident: str, code: str, codebook: DataFrame | None = None, rows_per_task: int = hot.ROWS_PER_TASK) -> DataFrame:
     """One row per run: (key, code, n_events, first_id, last_id, first_s, last_s, duration_s). A run
     is a longest stretch of neighbouring rows of a key with one code; runs of one row are included.
 
@@ -87,16 +87,19 @@ def collapse_runs(turns: DataFrame, key: str, at: str, ident: str, code: str, co
 
     Boundary rows only: ``lag`` finds rows that differ from their predecessor, all others but the
     last are dropped, and ``lead`` over what is left gives counts as differences of positions and
-    ends as the time before the next boundary. Hot keys are cut by time (``plans.hot``); runs that
+    ends as the time before the next boundary. Keys with more rows than a task should take are cut by time (``plans.hot``); runs that
     touch a cut, at most two a part, are joined afterwards.
     """
     need(turns, key, at, ident, code)
     src = turns.select(F.col(key).cast("string").alias("k"), F.col(at).cast("long").alias("t"), F.col(ident).cast("long").alias("i"), F.col(code).cast("string").alias("c"))
     src = src.where("k is not null and t is not null and i is not null")
     src = src.withColumn("t", F.when(F.col("t") > 100_000_000_000, F.floor(F.col("t") / 1000)).otherwise(F.col("t")).cast("long"))
-    cuts = hot.hot_cuts(src, ["k"], "t", floor_rows)
+    cuts = hot.hot_cuts(src, ["k"], "t", rows_per_task)
+    one = src.groupBy("i").agg(F.min(F.struct("k", "t", "c")).alias("x")).select("i", "x.*")
+    # each writing of a code is resolved once, not each row
     named = resolve_code(F.col("c"), codebook) if codebook is not None else F.when(code_key(F.col("c")) != "", code_key(F.col("c")))
-    one = src.groupBy("i").agg(F.min(F.struct("k", "t", "c")).alias("x")).select("i", "x.*").withColumn("c", named)
+    writings = cut(src.select("c").where("c is not null").distinct().withColumn("named", named).where("named is not null"))
+    one = one.join(bounded(writings), "c", "left").select("i", "k", "t", F.col("named").alias("c"))
     rows = hot.with_parts(one, ["k"], "t", cuts)
     w = Window.partitionBy("k", "_part").orderBy("t", "i")
     rows = rows.withColumns({

@@ -61,7 +61,7 @@ def rows_of(seed, n=1200):
 @pytest.mark.parametrize("floor", [10**9, 50])
 def test_against_brute_force(spark, book, floor):
     rows, names = rows_of(floor)
-    r = collapse_runs(spark.createDataFrame(rows, SCHEMA), "session_id", "timestamp", "message_id", "code", book, floor_rows=floor).collect()
+    r = collapse_runs(spark.createDataFrame(rows, SCHEMA), "session_id", "timestamp", "message_id", "code", book, rows_per_task=floor).collect()
     assert {(x["session_id"], x["code"], x["n_events"], x["first_id"], x["last_id"], x["duration_s"]) for x in r} == brute(rows, names)
 
 
