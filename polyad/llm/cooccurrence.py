@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyad.plans.session import cut, need
+from polyad.plans.session import bounded, cut, need
 
 #: Members of a basket are paired in blocks of this many, so that one very large basket is many rows.
 BLOCK = 128
+#: Pairs that a task should make.
+PAIRS_PER_TASK = 4_000_000
 
 
 def memberships(hyperedges: DataFrame, incidence: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -35,33 +37,42 @@ def pair_counts(members: DataFrame, group: str = "hg", basket: str = "edge", ite
     infinite. Rows with a null are left out, repeated members count once, empty tables give no row.
     Items are integers.
 
-    Basket collapsing: members become sorted distinct arrays, equal arrays of a group become one
-    with a weight, pairs are enumerated once per distinct array and weights are summed, partly
-    before the shuffle. Both thresholds first remove items, without loss: n_both <= min(n_a, n_b),
-    so a pair that qualifies needs n >= min_count and n * min_lift <= n_baskets of both; items
-    in a large share of all baskets go before any pair is made, and the arrays collapse further.
-    Arrays longer than BLOCK are paired block by block, each pair of blocks a row of its own.
+    Basket collapsing: repeated members go, baskets with the same set of members (told by their
+    number and 128 bits of hash, so that no basket is ever gathered in one row) become one with a
+    weight, pairs are enumerated once per distinct basket and weights are summed, partly before the
+    shuffle. Both thresholds first remove items, without loss: n_both <= min(n_a, n_b), so a pair
+    that qualifies needs n >= min_count and n * min_lift <= n_baskets of both; items in a large
+    share of all baskets go before any pair is made. Members of a basket lie in blocks of about
+    BLOCK by hash; each pair of blocks is a row of its own, and these rows are spread by the number
+    of pairs they make before they make them.
     """
+    spark = members.sparkSession
     m = members.select(F.col(group).alias("g"), F.col(basket).alias("b"), F.col(item).cast("int").alias("i"))
-    m = m.where("g is not null and b is not null and i is not null")
-    baskets = m.groupBy("g", "b").agg(F.array_sort(F.collect_set("i")).alias("items"))
-    whole = cut(baskets.groupBy("g", "items").agg(F.count(F.lit(1)).alias("w")).withColumn("id", F.monotonically_increasing_id()))
-    total = whole.groupBy("g").agg(F.sum("w").alias("n_baskets"))
-    degree = whole.select("g", "w", F.explode("items").alias("i")).groupBy("g", "i").agg(F.sum("w").alias("d"))
-    degree = cut(degree.join(total, "g").where((F.col("d") >= min_count) & (F.col("d") * F.lit(float(min_lift)) <= F.col("n_baskets"))))
-    left = whole.select("g", "w", "id", F.explode("items").alias("i")).join(degree.select("g", "i"), ["g", "i"], "left_semi")
-    kept = left.groupBy("g", "id").agg(F.first("w").alias("w"), F.array_sort(F.collect_list("i")).alias("items")).where("size(items) > 1")
-    kept = kept.groupBy("g", "items").agg(F.sum("w").alias("w"))
-    blocks = F.transform(F.sequence(F.lit(0), F.expr(f"cast(floor((size(items) - 1) / {BLOCK}) as int)")), lambda k: F.slice("items", k * BLOCK + 1, BLOCK))
-    one = kept.select("g", "w", F.posexplode(blocks).alias("p", "xs"), blocks.alias("all"))
-    two = one.select("g", "w", "p", "xs", F.explode(F.slice("all", F.col("p") + 1, F.size("all"))).alias("ys"))
-    a = two.select("g", "w", F.explode("xs").alias("a"), "ys")
-    ab = a.select("g", "w", "a", F.explode("ys").alias("b")).where("a < b")
+    m = m.where("g is not null and b is not null and i is not null").distinct()
+    signed = m.groupBy("g", "b").agg(F.bit_xor(F.xxhash64("i")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "i")).alias("y"), F.count(F.lit(1)).alias("n"))
+    kinds = cut(signed.groupBy("g", "x", "y", "n").agg(F.count(F.lit(1)).alias("w"), F.min("b").alias("b")).select("g", "b", "w", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
+    total = kinds.groupBy("g").agg(F.sum("w").alias("n_baskets"))
+    whole = cut(m.join(kinds, ["g", "b"]))
+    degree = whole.groupBy("g", "i").agg(F.sum("w").alias("d"))
+    degree = cut(degree.join(bounded(total), "g").where((F.col("d") >= min_count) & (F.col("d") * F.lit(float(min_lift)) <= F.col("n_baskets"))))
+    left = whole.join(bounded(degree.select("g", "i")), ["g", "i"], "left_semi").withColumn("p", F.pmod(F.xxhash64(F.lit(2), "i"), F.col("nb")).cast("int"))
+    blocks = left.groupBy("g", "b", "w", "nb", "p").agg(F.collect_list("i").alias("xs"))
+    blocks = cut(blocks.where("nb > 1 or size(xs) > 1"))
+    inside = blocks.select("g", "w", "xs", F.col("xs").alias("ys"), F.lit(True).alias("inside"))
+    wide = blocks.where("nb > 1")
+    ahead = wide.where("p < nb - 1").select("g", "b", "w", "xs", F.explode(F.sequence(F.col("p") + 1, F.col("nb") - 1)).alias("p"))
+    across = ahead.join(wide.select("g", "b", "p", F.col("xs").alias("ys")), ["g", "b", "p"]).select("g", "w", "xs", "ys", F.lit(False).alias("inside"))
+    two = cut(inside.unionByName(across))
+    made = two.agg(F.coalesce(F.sum(F.size("xs").cast("long") * F.size("ys")), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(spark.sparkContext.defaultParallelism, made // PAIRS_PER_TASK)
+    two = two.repartition(int(tasks))
+    pair = two.select("g", "w", "inside", F.explode("xs").alias("s"), "ys").select("g", "w", "inside", "s", F.explode("ys").alias("t")).where("not inside or s < t")
+    ab = pair.select("g", "w", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
     key = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
     c = ab.select("g", "w", key.alias("ab")).groupBy("g", "ab").agg(F.sum("w").alias("n_both")).where(F.col("n_both") >= min_count)
     c = c.select("g", F.shiftright("ab", 32).cast("int").alias("a"), F.col("ab").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "n_both")
-    c = c.join(degree.select("g", F.col("i").alias("a"), F.col("d").alias("n_a"), "n_baskets"), ["g", "a"])
-    c = c.join(degree.select("g", F.col("i").alias("b"), F.col("d").alias("n_b")), ["g", "b"])
+    c = c.join(bounded(degree.select("g", F.col("i").alias("a"), F.col("d").alias("n_a"), "n_baskets")), ["g", "a"])
+    c = c.join(bounded(degree.select("g", F.col("i").alias("b"), F.col("d").alias("n_b"))), ["g", "b"])
     c = c.where(F.col("n_both") * F.col("n_baskets") >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b"))
     n = F.col("n_baskets").cast("double")
 

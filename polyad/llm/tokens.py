@@ -68,12 +68,20 @@ def encode_text(text: str | None, root: str = ROOT, name: str = NAME) -> list[in
         return _steady(root, name).encode(text, add_special_tokens=False).ids
 
 
+_STOPS = frozenset("\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f")
+
+
+def _kana_or_han(c: str) -> bool:
+    return "\u3041" <= c <= "\u3096" or "\u30a1" <= c <= "\u30fa" or "\u4e00" <= c <= "\u9fa5"
+
+
 def boundaries(text: str) -> list[int]:
     """End offsets of the pre-tokens of ``text`` at which it can be parted: before a plain blank and
-    not after one. A run of blanks is split differently if nothing follows it, and at other places
+    not after one, or, for scripts without blanks, between a full stop or comma of theirs and a letter
+    of theirs, which every version of Unicode has as such. A run of blanks is split differently if nothing follows it, and at other places
     regular expression engines may know different versions of Unicode's classes."""
     ends = (m.end() for m in _pattern().finditer(text))
-    return [e for e in ends if e < len(text) and text[e] in " \t\r\n" and not text[e - 1].isspace()]
+    return [e for e in ends if e < len(text) and (text[e] in " \t\r\n" and not text[e - 1].isspace() or text[e - 1] in _STOPS and _kana_or_han(text[e]))]
 
 
 def _lists(rows: list[list[int]]) -> pa.Array:

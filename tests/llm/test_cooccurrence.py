@@ -39,6 +39,12 @@ def test_pairs_and_blocks(spark, monkeypatch):
     assert got(pair_counts(df, min_count=3, min_lift=1.5)) == brute(rows, 3, 1.5)
 
 
+def test_one_very_large_edge_is_spread(spark):
+    df = spark.range(900).selectExpr("'g' hg", "'e' edge", "cast(id as int) item").union(spark.sql("select 'g', 'f', 7 union all select 'g', 'f', 8"))
+    r = pair_counts(df)
+    assert r.count() == 900 * 899 // 2 and [x["item_a"] for x in r.where("n_both = 2").collect()] == [7]
+
+
 def test_lift_conviction_and_empty(spark):
     df = spark.createDataFrame([("g", "1", 1), ("g", "1", 2), ("g", "2", 1), ("g", "2", 2), ("g", "3", 2), ("g", "4", 3)], "hg string, edge string, item int")
     r = pair_counts(df).first()

@@ -35,5 +35,13 @@ def test_long_texts_are_stitched_exactly(spark, seed):
     assert counts == {i: len(direct(t)) for i, t in enumerate(texts)}
 
 
+def test_scripts_without_blanks_are_parted_too(spark):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice(["日本語", "这是一个句子", "かな", "カタカナ", "。", "、", "！？", "２３"]) for _ in range(4000))
+    assert len(T.boundaries(text)) > 200
+    df = spark.createDataFrame([(1, text), (2, "字" * 3000)], "doc_id long, text string")
+    assert {r["doc_id"]: list(r["ids"]) for r in T.encode(df, chunk=400, overlap=100).collect()} == {1: direct(text), 2: direct("字" * 3000)}
+
+
 def test_a_run_the_fast_encoder_cannot_take():
     assert len(direct(" " * 400_000)) == 400_000
