@@ -252,21 +252,29 @@ def knn_hypergraph(spark, d):
     return H.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 5, weighted=False)
 
 
-CLIQUES = f"""{SO}, s as (select distinct cast(l_suppkey as varchar) node, cast(l_orderkey as varchar) edge from lineitem),
-w as (select x.node a, y.node b, cast(count(*) as double) w from s x join s y using (edge) where x.node < y.node group by all),
-t as (select * from w where w >= (select quantile_cont(w, 0.9) from w))"""
+NEAR = """v as (select cast(vec_id as varchar) id, list_transform(embedding, lambda x: x::double) e from embeddings),
+c as (select a.id x, b.id y, round(list_cosine_similarity(a.e, b.e), 12) s from v a join v b on a.id <> b.id),
+t as (select * from c qualify row_number() over (partition by x order by s desc, y) <= 5), e as (select least(x, y) a, greatest(x, y) b, max(s) w from t group by all),
+c2 as (select [a, b] m, b as last, w f from e)"""
+for _k in range(3, 13):  # cliques of one more member, until there are none
+    NEAR += f""",
+c{_k} as (select list_append(c.m, x.b) m, x.b as last, least(c.f, min(y.w)) f from c{_k - 1} c join e x on x.a = c.last join e y on y.b = x.b and list_contains(c.m, y.a) group by c.m, x.b, c.f having count(*) = {_k - 1})"""
+COMPLEX = f"{NEAR}, sx as (select [v] m, max(w) f from (select a v, w from e union all select b, w from e) group by v" + "".join(f" union all select m, f from c{_k}" for _k in range(2, 13)) + ")"
 
 
-def _strong_pairs(spark, d):
-    p = S.clique_projection(supplier_orders(spark, d))
-    floor = p.agg(F.percentile("weight", F.lit(0.9)).alias("floor"))
-    return p.crossJoin(F.broadcast(floor)).where("weight >= floor").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "weight")
+def neighbour_graph(spark, d):
+    """(a, b, weight): vectors of which one is among the five most similar of the other, with their cosine."""
+    n = H.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 5).where("node <> edge")
+    return n.select(F.least("node", "edge").alias("a"), F.greatest("node", "edge").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
-@query(f"""with {CLIQUES} select array_to_string([a, b], '|') as edge, 2 as size from t
-union all select array_to_string([x.a, x.b, y.b], '|'), 3 from t x join t y on x.b = y.a join t z on z.a = x.a and z.b = y.b""")
+def neighbour_complex(spark, d):
+    return K.cliques(neighbour_graph(spark, d), None)
+
+
+@query(f"with {NEAR} select array_to_string(m, '|') as edge, len(m) as size from c2 union all select array_to_string(m, '|'), len(m) from c3")
 def network_cliques_3(spark, d):
-    e = _strong_pairs(spark, d).select(F.col("a").alias("source"), F.col("b").alias("target"), "weight")
+    e = neighbour_graph(spark, d).select(F.col("a").alias("source"), F.col("b").alias("target"), "weight")
     return H.network_cliques(e, 3).select("edge", "size")
 
 
@@ -347,28 +355,17 @@ def citation_projection(spark, d):
     return S.citation_projection(supplier_orders(spark, d), src)
 
 
-SPARSE = "b as (select distinct cast(l_partkey as varchar) node, cast(l_orderkey as varchar) edge from lineitem where l_quantity = 50)"
-
-
-REACH = f"""with recursive {SPARSE}, l as (select distinct x.node a, y.node c from b x join b y using (edge)),
-r as (select node a, node c from b union select r.a, l.c from r join l on l.a = r.c), lab as (select a node, min(c) component from r group by a)"""
-
-
-@query(f"{REACH} select 'node' as kind, node as name, component from lab union all select distinct 'edge', edge, component from b join lab using (node)")
+@query()
 def connected_components(spark, d):
     return S.components(part_orders(spark, d))
 
 
-@query(f"""{REACH}, n as (select component, count(*) n_nodes from lab group by all), e as (select component, count(distinct edge) n_edges from b join lab using (node) group by all)
-select component, n_nodes, n_edges, round(n_nodes / sum(n_nodes) over (), 6) as share, row_number() over (order by n_nodes desc, component) as rank from n join e using (component)""")
+@query()
 def component_table(spark, d):
     return rounded(S.component_table(part_orders(spark, d)), "share")
 
 
-DUE = "b as (select distinct cast(l_suppkey as varchar) node, cast(l_orderkey as varchar) edge from lineitem where l_quantity >= 45)"
-
-
-@query(f"""with {DUE}, {PAIRS}, p as (select distinct node_a, node_b from pr), s as (select node_a node, node_b o from p union all select node_b, node_a from p), k as (select node, count(*) k from s group by all),
+@query(f"""with {SO}, {PAIRS}, p as (select distinct node_a, node_b from pr), s as (select node_a node, node_b o from p union all select node_b, node_a from p), k as (select node, count(*) k from s group by all),
 t as (select x.node, count(*) n from s x join s y on x.node = y.node and x.o < y.o join p on p.node_a = x.o and p.node_b = y.o group by all)
 select distinct b.node, round(case when k >= 2 then coalesce(n, 0) / (k * (k - 1) / 2) end, 6) as transitivity from b left join k using (node) left join t using (node)""")
 def transitivity_projection(spark, d):
@@ -376,7 +373,7 @@ def transitivity_projection(spark, d):
 
 
 def _two_node(kind: str, below: str):
-    sql = f"""with {DUE}, {PAIRS}, dg as (select node, count(*) d from b group by all), c as (select node_a, node_b, count(*) n from pr group by all),
+    sql = f"""with {SO}, {PAIRS}, dg as (select node, count(*) d from b group by all), c as (select node_a, node_b, count(*) n from pr group by all),
 v as (select node_a, node_b, n / ({below}) v from c join dg a on a.node = node_a join dg z on z.node = node_b),
 h as (select node_a node, v from v union all select node_b, v from v) select dg.node, round(avg(v), 6) as transitivity from dg left join h using (node) group by dg.node"""
 
@@ -443,7 +440,7 @@ def motifs_yto(spark, d):
     return S.triple_motifs(supplier_orders(spark, d))
 
 
-@query(f"""with {SPARSE}, {SIZES}, {PAIRS}, k as (select list_sort(list(node)) m from b group by edge), rp as (select sum(c - 1) r from (select count(*) c from k group by m)),
+@query(f"""with {PO}, {SIZES}, {PAIRS}, k as (select list_sort(list(node)) m from b group by edge), rp as (select sum(c - 1) r from (select count(*) c from k group by m)),
 pp as (select count(*) p, count(*) filter (c > 1) rep from (select count(*) c from pr group by node_a, node_b)),
 o as (select sum(c / (s1 + s2 - c)) js from (select x.edge, y.edge, any_value(a.size) s1, any_value(z.size) s2, count(*) c from b x join b y on x.node = y.node and x.edge < y.edge join sz a on a.edge = x.edge join sz z on z.edge = y.edge group by x.edge, y.edge)),
 t as (select count(distinct node) n, count(distinct edge) m, count(*) cells from b)
@@ -504,36 +501,37 @@ def _pagerank_sql(n: int) -> str:
     return _unrolled(steps, f"select node, round(r / sum(r) over (), 9) as pagerank from r{n}", head)
 
 
-@query(_pagerank_sql(8))
-def pagerank_8_rounds(spark, d):
-    return rounded(P.pagerank(supplier_orders(spark, d), iterations=8, tol=0.0), "pagerank", digits=9)
+@query(_pagerank_sql(40))
+def pagerank(spark, d):
+    return rounded(P.pagerank(supplier_orders(spark, d)), "pagerank", digits=9)
 
 
-@query(f"""with {DUE}, {SIZES}, dg as (select node, count(*) d from b group by node), v as (select node, edge, size, 1 / sqrt(d) v from b join sz using (edge) join dg using (node)),
+@query(f"""with {SO}, {SIZES}, dg as (select node, count(*) d from b group by node), v as (select node, edge, size, 1 / sqrt(d) v from b join sz using (edge) join dg using (node)),
 s as (select x.node i, y.node j, sum(x.v * y.v / x.size) s from v x join v y on x.edge = y.edge and x.node <= y.node group by all)
 select i, j, round(case when i = j then 1 else 0 end - s, 6) as value from s""")
 def laplacian_zhou(spark, d):
     return rounded(P.laplacian(supplier_orders(spark, d)), "value")
 
 
-def _katz_sql(alpha: float, n: int) -> str:
-    head = f"{DUE}, own as (select node, count(*) own from b group by node), t0 as (select distinct node, 1.0::double x from b)"
-    steps, total = [], []
+def _katz_sql(n: int) -> str:
+    """x = alpha A (1 + x), alpha half of 1 over the largest row sum of A."""
+    head = f"""{SO}, own as (select node, count(*) own from b group by node), e0 as (select edge, count(*) y from b group by edge),
+a as (select 0.5::double / max(y) alpha from (select node, sum(y) - any_value(own) y from b join e0 using (edge) join own using (node) group by node)), t0 as (select node, 0.0::double s from own)"""
+    steps = []
     for k in range(1, n + 1):
-        steps.append(f"e{k} as materialized (select edge, sum(x) y from b join t{k - 1} using (node) group by edge)")
-        steps.append(f"t{k} as materialized (select node, {alpha} * (sum(y) - any_value(own) * any_value(x)) x from b join e{k} using (edge) join own using (node) join t{k - 1} using (node) group by node)")
-        total.append(f"select node, x from t{k}")
-    return _unrolled(steps, f"select node, round(sum(x), 9) as katz from ({' union all '.join(total)}) group by node", head)
+        steps.append(f"e{k} as materialized (select edge, sum(s + 1) y from b join t{k - 1} using (node) group by edge)")
+        steps.append(f"t{k} as materialized (select node, any_value(alpha) * (sum(y) - any_value(own) * (1 + any_value(s))) s from b join e{k} using (edge) join own using (node) join t{k - 1} using (node), a group by node)")
+    return _unrolled(steps, f"select node, round(s, 7) as katz from t{n}", head)
 
 
-@query(_katz_sql(0.01, 6))
-def katz_6_terms(spark, d):
-    return rounded(P.katz(supplier_orders(spark, d), 0.01, iterations=6, tol=0.0), "katz", digits=9)
+@query(_katz_sql(40))
+def katz(spark, d):
+    return rounded(P.katz(supplier_orders(spark, d)), "katz", digits=7)
 
 
 def _spread_sql(n: int, xi: float) -> str:
     head = f"""{SO}, {SIZES}, dg as (select node, count(*) d from b group by node), v as (select node, edge, size, 1 / sqrt(d) v from b join sz using (edge) join dg using (node)),
-y as (select cast(s_suppkey as varchar) node, cast(s_nationkey as varchar) label, {1 - xi!r}::double f from supplier where s_suppkey % 3 = 0 and s_suppkey in (select l_suppkey from lineitem)), f0 as (select * from y)"""
+y as (select cast(s_suppkey as varchar) node, cast(s_nationkey as varchar) label, {1 - xi!r}::double f from supplier where s_suppkey in (select l_suppkey from lineitem)), f0 as (select * from y)"""
     steps = []
     for k in range(1, n + 1):
         steps.append(f"e{k} as materialized (select edge, label, sum(v * f / size) x from v join f{k - 1} using (node) group by all)")
@@ -541,20 +539,30 @@ y as (select cast(s_suppkey as varchar) node, cast(s_nationkey as varchar) label
     return _unrolled(steps, f"select node, label as predicted, round(f, 7) as score from f{n} qualify row_number() over (partition by node order by f desc, label) = 1", head)
 
 
-@query(_spread_sql(4, 0.9))
-def label_spreading_4_rounds(spark, d):
-    seeds = supplier_nations(spark, d).where(F.col("node").cast("long") % 3 == 0)
-    return rounded(P.spread_labels(supplier_orders(spark, d), seeds, xi=0.9, iterations=4, tol=0.0).select("node", "predicted", "score"), "score", digits=7)
+@query(_spread_sql(32, 0.5))
+def label_spreading(spark, d):
+    return rounded(P.spread_labels(supplier_orders(spark, d), supplier_nations(spark, d), xi=0.5, tol=1e-9).select("node", "predicted", "score"), "score", digits=7)
 
 
 @query()
 def clique_eigenvector(spark, d):
-    return P.clique_eigenvector(supplier_orders(spark, d), iterations=16)
+    return P.clique_eigenvector(supplier_orders(spark, d))
 
 
 @query()
 def tensor_centrality_z(spark, d):
-    return P.tensor_centrality(supplier_orders(spark, d), "Z", iterations=16)
+    return P.tensor_centrality(supplier_orders(spark, d), "Z", tol=1e-6)
+
+
+@query()
+def tensor_centrality_h(spark, d):
+    return P.tensor_centrality(supplier_orders(spark, d), "H", tol=1e-6)
+
+
+@query(f"""with {SO}, {SIZES}, dg as (select node, count(*) d from b group by node)
+select x.node i, y.node j, round(case when x.node = y.node then 1 else 0 end - sum(1.0::double / d / size), 6) as value from b x join b y using (edge) join sz using (edge) join dg on dg.node = x.node group by x.node, y.node""")
+def laplacian_random_walk(spark, d):
+    return rounded(P.laplacian(supplier_orders(spark, d), "random_walk"), "value")
 
 
 @query()
@@ -620,7 +628,7 @@ def community_quality(spark, d):
 
 @query()
 def louvain_communities(spark, d):
-    return C.louvain(_strong_pairs(spark, d).select(F.col("a").alias("node_a"), F.col("b").alias("node_b"), "weight"))
+    return C.louvain(S.clique_projection(supplier_orders(spark, d)))
 
 
 # ---- text ---------------------------------------------------------------------------------------
@@ -739,37 +747,34 @@ def window_complex(spark, d):
     return K.close(sets).select(F.array_join("members", "|").alias("members"), "count", "dimension")
 
 
-TRI = f"{CLIQUES}, tri as (select x.a, x.b, y.b c, least(x.w, y.w, z.w) f from t x join t y on x.b = y.a join t z on z.a = x.a and z.b = y.b), ve as (select v, max(w) f from (select a v, w from t union all select b, w from t) group by v)"
-
-
-@query(f"with {TRI} select v as members, 0 as dimension, f as filtration from ve union all select a || '|' || b, 1, w from t union all select a || '|' || b || '|' || c, 2, f from tri")
+@query(f"with {COMPLEX} select array_to_string(m, '|') as members, len(m) - 1 as dimension, round(f, 9) as filtration from sx")
 def clique_complex(spark, d):
-    return K.cliques(_strong_pairs(spark, d), None).select(F.array_join("members", "|").alias("members"), "dimension", "filtration")
+    return rounded(neighbour_complex(spark, d).select(F.array_join("members", "|").alias("members"), "dimension", "filtration"), "filtration", digits=9)
 
 
-@query(f"with {TRI} select 0 as dimension, count(*) as n from ve union all select 1, count(*) from t union all select 2, count(*) from tri having count(*) > 0")
+@query(f"with {COMPLEX} select len(m) - 1 as dimension, count(*) as n from sx group by all")
 def clique_f_vector(spark, d):
-    return K.f_vector(K.cliques(_strong_pairs(spark, d), None))
+    return K.f_vector(neighbour_complex(spark, d))
 
 
-@query(f"with {TRI} select (select count(*) from ve) - (select count(*) from t) + (select count(*) from tri) as euler")
+@query(f"with {COMPLEX} select cast(sum(case when len(m) % 2 = 1 then 1 else -1 end) as bigint) as euler from sx")
 def clique_euler(spark, d):
-    return K.euler(K.cliques(_strong_pairs(spark, d), None))
+    return K.euler(neighbour_complex(spark, d))
 
 
-@query(f"with {TRI} select v as node, 0 as dimension, 1 as n from ve union all select v, 1, count(*) from (select a v from t union all select b from t) group by v union all select v, 2, count(*) from (select a v from tri union all select b from tri union all select c from tri) group by v")
+@query(f"with {COMPLEX} select node, d as dimension, count(*) as n from (select unnest(m) node, len(m) - 1 d from sx) group by all")
 def clique_degrees(spark, d):
-    return K.degrees(K.cliques(_strong_pairs(spark, d), None))
+    return K.degrees(neighbour_complex(spark, d))
 
 
 @query()
 def clique_homology(spark, d):
-    return K.homology(K.cliques(_strong_pairs(spark, d), None))
+    return K.homology(neighbour_complex(spark, d))
 
 
 @query()
 def clique_q_analysis(spark, d):
-    return K.q_analysis(K.cliques(_strong_pairs(spark, d), None))
+    return K.q_analysis(neighbour_complex(spark, d))
 
 
 # ---- memory networks as graphs, factors, propagation --------------------------------------------

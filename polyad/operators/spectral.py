@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyad.errors import BadInput, DenseTooLarge, NoConverge
-from polyad.operators.structure import node_pairs
-from polyad.plans.session import cut
+from polyad.operators.structure import neighbours
+from polyad.plans.iterate import fixed_point
+from polyad.plans.rank import with_total
+from polyad.plans.session import bounded, cut
 
 MAX_DENSE = 5000
 
@@ -43,117 +45,126 @@ def _both_ways(b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(once.repartition(n, "node")), cut(once.repartition(n, "edge"))
 
 
-def pagerank(m: DataFrame, damping: float = 0.85, omega: DataFrame | None = None, teleport: DataFrame | None = None, iterations: int = 100, tol: float = 1e-10) -> DataFrame:
-    """(node, pagerank) of the walk; ``teleport`` (node, p) defaults to uniform. Stops when the sum of
-    changes is below ``tol`` or after ``iterations``."""
+def pagerank(m: DataFrame, damping: float = 0.85, omega: DataFrame | None = None, teleport: DataFrame | None = None, iterations: int = 200, tol: float = 1e-10) -> DataFrame:
+    """(node, pagerank) of the walk; ``teleport`` (node, p) defaults to uniform. NoConverge is raised if
+    values still move by ``tol`` after ``iterations`` rounds."""
     by_node, by_edge = _both_ways(walk(m, edge_weights(m, omega)))
     nodes = by_node.select("node").distinct()
     base = nodes.join(teleport.select("node", F.col("p").alias("t")), "node", "left").na.fill(0.0) if teleport is not None else nodes.withColumn("t", F.lit(1.0))
-    base = cut(base.withColumn("t", F.col("t") / F.sum("t").over(Window.partitionBy())))
-    r = base.select("node", F.col("t").alias("r"))
-    for _ in range(iterations):
+    base = cut(with_total(cut(base), every="t").select("node", (F.col("t") / F.col("every")).alias("t")))
+
+    def step(r: DataFrame) -> DataFrame:
         e = by_node.join(r, "node").groupBy("edge").agg(F.sum(F.col("r") * F.col("out")).alias("x"))
         n = by_edge.join(e, "edge").groupBy("node").agg(F.sum(F.col("x") * F.col("into")).alias("y"))
-        new = cut(base.join(n, "node", "left").select("node", (F.lit(1 - damping) * F.col("t") + F.lit(damping) * F.coalesce("y", F.lit(0.0))).alias("r")))
-        moved = tol > 0 and new.join(r.withColumnRenamed("r", "o"), "node").agg(F.sum(F.abs(F.col("r") - F.col("o")))).first()[0]
-        r = new
-        if tol > 0 and (moved or 0.0) < tol:
-            break
-    return r.select("node", (F.col("r") / F.sum("r").over(Window.partitionBy())).alias("pagerank"))
+        return base.join(n, "node", "left").select("node", (F.lit(1 - damping) * F.col("t") + F.lit(damping) * F.coalesce("y", F.lit(0.0))).alias("r"))
+
+    r = fixed_point(base.select("node", F.col("t").alias("r")), step, ["node"], "r", iterations, tol)
+    return with_total(r, every="r").select("node", (F.col("r") / F.col("every")).alias("pagerank"))
 
 
-def clique_eigenvector(m: DataFrame, iterations: int = 50, tol: float = 1e-9) -> DataFrame:
+def clique_eigenvector(m: DataFrame, iterations: int = 200, tol: float = 1e-9) -> DataFrame:
     """(node, centrality): dominant eigenvector of the binary clique expansion, unit length, by power
-    iteration on A + I."""
-    p = node_pairs(m).select("node_a", "node_b").distinct()
-    a = cut(p.select(F.col("node_a").alias("node"), F.col("node_b").alias("o")).unionByName(p.select(F.col("node_b").alias("node"), F.col("node_a").alias("o"))))
-    x = cut(_unit(m.select("node").distinct().withColumn("x", F.lit(1.0))))
-    for _ in range(iterations):
+    iteration on A + I. NoConverge is raised if it does not settle."""
+    a = cut(neighbours(m))
+
+    def step(x: DataFrame) -> DataFrame:
         y = a.join(x.select(F.col("node").alias("o"), "x"), "o").groupBy("node").agg(F.sum("x").alias("y"))
-        new = cut(_unit(x.join(y, "node", "left").select("node", (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("x"))))
-        gap = new.join(x.withColumnRenamed("x", "o"), "node").agg(F.sum(F.abs(F.col("x") - F.col("o")))).first()[0] or 0.0
-        x = new
-        if gap < tol:
-            break
+        return _unit(x.join(y, "node", "left").select("node", (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("x")))
+
+    x = fixed_point(_unit(m.select("node").distinct().withColumn("x", F.lit(1.0))), step, ["node"], "x", iterations, tol, every=1)
     return x.select("node", F.col("x").alias("centrality"))
 
 
 def _unit(x: DataFrame) -> DataFrame:
-    return x.select("node", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy()))).alias("x"))
+    x = cut(x)
+    return with_total(x, square=F.col("x") * F.col("x")).select("node", (F.col("x") / F.sqrt("square")).alias("x"))
 
 
-def tensor_centrality(m: DataFrame, kind: str = "Z", iterations: int = 60, tol: float = 1e-9) -> DataFrame:
+def tensor_centrality(m: DataFrame, kind: str = "Z", iterations: int = 300, tol: float = 1e-9) -> DataFrame:
     """(node, centrality): Z and H eigenvectors of the adjacency tensor, y_i = sum over edges of the
     product of the other members' values; H takes the (largest size - 1)-th root. Shifted power
-    iteration; values are positive."""
+    iteration; values are positive. NoConverge is raised if it does not settle."""
     if kind not in ("Z", "H"):
         raise BadInput("kind is Z or H")
     b = cut(m.select("node", "edge"))
     big = b.groupBy("edge").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 2
-    x = cut(_unit(b.select("node").distinct().withColumn("x", F.lit(1.0))))
-    for _ in range(iterations):
+
+    def step(x: DataFrame) -> DataFrame:
         logs = b.join(x, "node").withColumn("l", F.log(F.greatest("x", F.lit(1e-300))))
         e = logs.groupBy("edge").agg(F.sum("l").alias("s"))
         y = logs.join(e, "edge").groupBy("node").agg(F.sum(F.exp(F.col("s") - F.col("l"))).alias("y"))
         y = y.withColumn("y", F.pow("y", F.lit(1.0 / (big - 1)))) if kind == "H" and big > 1 else y
-        new = cut(_unit(x.join(y, "node").select("node", (F.col("x") + F.col("y")).alias("x"))))
-        gap = new.join(x.withColumnRenamed("x", "o"), "node").agg(F.sum(F.abs(F.col("x") - F.col("o")))).first()[0] or 0.0
-        x = new
-        if gap < tol:
-            break
+        return _unit(x.join(y, "node").select("node", (F.col("x") + F.col("y")).alias("x")))
+
+    x = fixed_point(_unit(b.select("node").distinct().withColumn("x", F.lit(1.0))), step, ["node"], "x", iterations, tol, every=1)
     return x.select("node", F.col("x").alias("centrality"))
 
 
-def katz(m: DataFrame, alpha: float, iterations: int = 40, tol: float = 1e-10) -> DataFrame:
-    """(node, katz): sum over k >= 1 of alpha^k A^k 1 on the weighted clique expansion; alpha must lie
-    below 1 over its largest eigenvalue, else the series grows and NoConverge is raised."""
-    b = cut(m.select("node", "edge", "weight"))
-    own = b.groupBy("node").agg(F.sum(F.col("weight") * F.col("weight")).alias("own"))
-    term = b.select("node").distinct().withColumn("x", F.lit(1.0))
-    total, last = term.select("node", F.lit(0.0).alias("s")), float("inf")
-    for i in range(iterations):
-        e = b.join(term, "node").groupBy("edge").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
-        y = b.join(e, "edge").groupBy("node").agg(F.sum(F.col("weight") * F.col("y")).alias("y"))
-        term = cut(y.join(own, "node").join(term, "node").select("node", (F.lit(alpha) * (F.col("y") - F.col("own") * F.col("x"))).alias("x")))
-        total = cut(total.join(term, "node").select("node", (F.col("s") + F.col("x")).alias("s")))
-        size = term.agg(F.max(F.abs("x"))).first()[0] or 0.0
-        if size < tol:
-            return total.select("node", F.col("s").alias("katz"))
-        if i > 4 and size > 2 * last:
-            raise NoConverge("alpha is not below 1 / lambda_max")
-        last = size
-    return total.select("node", F.col("s").alias("katz"))
-
-
-def laplacian(m: DataFrame) -> DataFrame:
-    """(i, j, value): non-zero cells of the normalised Laplacian I - D^-1/2 H W De^-1 H' D^-1/2 with W = 1
-    and binary H, i <= j."""
-    size = m.groupBy("edge").agg(F.count(F.lit(1)).alias("k"))
-    d = m.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    b = m.select("node", "edge").join(size, "edge").join(d, "node").withColumn("v", F.lit(1.0) / F.sqrt("d"))
-    a = b.select("edge", F.col("node").alias("i"), F.col("v").alias("vi"), "k")
-    z = b.select("edge", F.col("node").alias("j"), F.col("v").alias("vj"))
-    s = a.join(z, "edge").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj") / F.col("k")).alias("s"))
+def katz(m: DataFrame, alpha: float | None = None, iterations: int = 400, tol: float = 1e-10) -> DataFrame:
+    """(node, katz): sum over k >= 1 of alpha^k A^k 1 on the weighted clique expansion, as the fixed
+    point of x = alpha A (1 + x). ``alpha`` must lie below 1 over A's largest eigenvalue, else
+    NoConverge is raised; by default it is half of 1 over A's largest row sum, which always does."""
+    by_node, by_edge = _both_ways(m.select("node", "edge", "weight"))
+    own = cut(by_node.groupBy("node").agg(F.sum(F.col("weight") * F.col("weight")).alias("own")))
+
+    def times(x: DataFrame) -> DataFrame:  # (node, own, x) to (node, y): A x
+        e = by_node.join(x.select("node", "x"), "node").groupBy("edge").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
+        y = by_edge.join(e, "edge").groupBy("node").agg(F.sum(F.col("weight") * F.col("y")).alias("y"))
+        return x.join(y, "node").select("node", "own", (F.col("y") - F.col("own") * F.col("x")).alias("y"))
+
+    first = cut(times(own.withColumn("x", F.lit(1.0))))
+    if alpha is None:
+        alpha = 0.5 / (first.agg(F.max("y")).first()[0] or 1.0)
+    step = lambda s: times(s.select("node", "own", (F.col("s") + 1.0).alias("x"))).select("node", "own", (F.lit(alpha) * F.col("y")).alias("s"))
+    s = fixed_point(first.select("node", "own", (F.lit(alpha) * F.col("y")).alias("s")), step, ["node", "own"], "s", iterations, tol)
+    return s.select("node", F.col("s").alias("katz"))
+
+
+def laplacian(m: DataFrame, kind: str = "zhou", omega: DataFrame | None = None) -> DataFrame:
+    """(i, j, value): non-zero cells of a Laplacian. ``zhou``: I - D^-1/2 H W De^-1 H' D^-1/2 with W = 1 and
+    binary H, i <= j. ``random_walk``: I - P of ``walk``, every cell (it is not symmetric)."""
+    if kind == "random_walk":
+        w = walk(m, edge_weights(m, omega))
+        s = w.select("edge", F.col("node").alias("i"), "out").join(w.select("edge", F.col("node").alias("j"), "into"), "edge")
+        s = s.groupBy("i", "j").agg(F.sum(F.col("out") * F.col("into")).alias("s"))
+    elif kind == "zhou":
+        size = m.groupBy("edge").agg(F.count(F.lit(1)).alias("k"))
+        d = m.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+        b = m.select("node", "edge").join(size, "edge").join(d, "node").withColumn("v", F.lit(1.0) / F.sqrt("d"))
+        a = b.select("edge", F.col("node").alias("i"), F.col("v").alias("vi"), "k")
+        z = b.select("edge", F.col("node").alias("j"), F.col("v").alias("vj"))
+        s = a.join(z, "edge").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj") / F.col("k")).alias("s"))
+    else:
+        raise BadInput("kind is zhou or random_walk")
     return s.select("i", "j", (F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.lit(0.0)) - F.col("s")).alias("value"))
 
 
-def spread_labels(m: DataFrame, labels: DataFrame, xi: float = 0.99, normalisation: str = "none", iterations: int = 60, tol: float = 1e-8) -> DataFrame:
+def spread_labels(m: DataFrame, labels: DataFrame, xi: float = 0.99, normalisation: str = "none", iterations: int = 200, tol: float = 1e-8) -> DataFrame:
     """(node, predicted, score, margin): F = (1 - xi)(I - xi S)^-1 Y for S of ``laplacian``, all classes at
     once. ``labels`` is (node, label). ``class_mass`` divides each class by its sum. Ties go to the
-    lesser label; nodes out of reach of any label get null."""
+    lesser label; nodes out of reach of any label get null. Solved by conjugate gradients, whose
+    scalars are one row a class; NoConverge is raised if the error bound stays above ``tol``."""
     size = m.groupBy("edge").agg(F.count(F.lit(1)).alias("k"))
     d = m.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
     by_node, by_edge = _both_ways(m.select("node", "edge").join(size, "edge").join(d, "node").select("node", "edge", "k", (F.lit(1.0) / F.sqrt("d")).alias("v")))
     known = labels.where("node is not null and label is not null").select("node", F.col("label").cast("string").alias("label")).distinct()
-    f = seed = cut(known.join(by_node.select("node").distinct(), "node", "left_semi").select("node", "label", F.lit(1 - xi).alias("f")))
-    for _ in range(iterations):
-        e = by_node.join(f, "node").groupBy("edge", "label").agg(F.sum(F.col("v") * F.col("f") / F.col("k")).alias("x"))
-        n = by_edge.join(e, "edge").groupBy("node", "label").agg(F.sum(F.col("v") * F.col("x")).alias("z"))
-        new = cut(n.select("node", "label", (F.lit(xi) * F.col("z")).alias("f")).unionByName(seed).groupBy("node", "label").agg(F.sum("f").alias("f")))
-        gap = tol > 0 and new.join(f.withColumnRenamed("f", "o"), ["node", "label"], "left").agg(F.max(F.abs(F.col("f") - F.coalesce("o", F.lit(0.0))))).first()[0]
-        f = new
-        if tol > 0 and (gap or 0.0) < tol:
+    start = F.lit(1 - xi)
+    state = cut(known.join(by_node.select("node").distinct(), "node", "left_semi").select("node", "label", F.lit(0.0).alias("x"), start.alias("r"), start.alias("p")))
+    for done in range(iterations + 1):
+        e = by_node.join(state.select("node", "label", "p"), "node").groupBy("edge", "label").agg(F.sum(F.col("v") * F.col("p") / F.col("k")).alias("y"))
+        z = by_edge.join(e, "edge").groupBy("node", "label").agg(F.sum(F.col("v") * F.col("y")).alias("z"))
+        st = state.join(z, ["node", "label"], "full").na.fill(0.0, ["x", "r", "p", "z"])
+        st = cut(st.select("node", "label", "x", "r", "p", (F.col("p") - F.lit(xi) * F.col("z")).alias("ap")))
+        by_class = st.groupBy("label").agg(F.sum(F.col("r") * F.col("r")).alias("rs"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
+        a = F.when(F.col("pap") > 0, F.col("rs") / F.col("pap")).otherwise(0.0)
+        st = cut(st.join(bounded(by_class), "label").select("node", "label", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("ap")).alias("r"), "p", "rs"))
+        after = cut(st.groupBy("label").agg(F.sum(F.col("r") * F.col("r")).alias("now"), F.max(F.abs("r")).alias("worst")))
+        state = st.join(bounded(after), "label").select("node", "label", "x", "r", (F.col("r") + F.when(F.col("rs") > 0, F.col("now") / F.col("rs")).otherwise(0.0) * F.col("p")).alias("p"))
+        if (after.agg(F.max("worst")).first()[0] or 0.0) < tol * (1 - xi):
             break
+        if done == iterations:
+            raise NoConverge(f"label spreading did not settle in {iterations} rounds")
+    f = cut(state.select("node", "label", F.col("x").alias("f")))
     if normalisation == "class_mass":
         f = f.withColumn("f", F.col("f") / F.sum("f").over(Window.partitionBy("label")))
     elif normalisation != "none":

@@ -8,35 +8,57 @@ from pyspark.sql import functions as F
 from polyad.errors import BadInput
 from polyad.functions.stats import hypergeometric_tails, p_adjust
 from polyad.operators.hypergraph import collapse_duplicates
-from polyad.plans.session import cut
+from polyad.plans.rank import numbered, with_total
+from polyad.plans.session import bounded, cut
 
 
 def _sizes(m: DataFrame) -> DataFrame:
     return m.groupBy("edge").agg(F.count(F.lit(1)).alias("size"))
 
 
+#: Rows of one join key that a task should pair; more are paired block by block.
+PAIR_BLOCK = 1000
+
+
+def _paired(m: DataFrame, key: str, item: str, *carry: str) -> DataFrame:
+    """Rows of ``m`` that share ``key``, once per pair with the lesser ``item`` as _a and the greater
+    as _b, ``carry`` with them. A key of more than PAIR_BLOCK rows is cut into blocks by hash, and
+    each block of the right side is a join key of its own, so no key's pairs lie in one task."""
+    side = lambda t, x: t.select(*keys, F.col(item).alias(f"{item}_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in carry])
+    keys = [key]
+    large = cut(m.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PAIR_BLOCK))
+    if large.isEmpty():
+        return side(m, "a").join(side(m, "b"), keys).where(f"{item}_a < {item}_b")
+    keys = [key, "_q"]
+    blocks = m.join(bounded(large), key, "left").withColumn("_k", F.coalesce(F.ceil(F.col("_n") / PAIR_BLOCK), F.lit(1)).cast("int"))
+    asks = blocks.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    data = blocks.withColumn("_q", F.pmod(F.xxhash64(item), F.col("_k")).cast("int"))
+    return side(asks, "a").join(side(data, "b"), keys).where(f"{item}_a < {item}_b").drop("_q")
+
+
 def node_pairs(m: DataFrame) -> DataFrame:
     """(node_a, node_b, edge, w_a, w_b), node_a < node_b, one row per pair and edge."""
-    b = m.select("edge", F.col("node").alias("node_b"), F.col("weight").alias("w_b"))
-    a = m.select("edge", F.col("node").alias("node_a"), F.col("weight").alias("w_a"))
-    return a.join(b, "edge").where("node_a < node_b")
+    return _paired(m, "edge", "node", "weight").select("edge", "node_a", "node_b", F.col("weight_a").alias("w_a"), F.col("weight_b").alias("w_b"))
+
+
+def neighbours(m: DataFrame) -> DataFrame:
+    """(node, o): distinct co-members, both ways; pairs are made distinct one way first."""
+    p = node_pairs(m).select("node_a", "node_b").distinct()
+    return p.select(F.explode(F.array(F.struct(F.col("node_a").alias("node"), F.col("node_b").alias("o")), F.struct(F.col("node_b").alias("node"), F.col("node_a").alias("o")))).alias("x")).select("x.*")
 
 
 def node_measures(m: DataFrame) -> DataFrame:
     """(node, hyperdegree, strength, max_edge_size, n_neighbors); strength adds the sizes of a
     node's edges, neighbours are distinct co-members."""
     base = m.join(_sizes(m), "edge").groupBy("node").agg(F.count(F.lit(1)).alias("hyperdegree"), F.sum("size").alias("strength"), F.max("size").alias("max_edge_size"))
-    near = node_pairs(m).select(F.explode(F.array(F.struct(F.col("node_a").alias("node"), F.col("node_b").alias("o")), F.struct(F.col("node_b").alias("node"), F.col("node_a").alias("o")))).alias("x")).select("x.*").distinct()
-    n = near.groupBy("node").agg(F.count(F.lit(1)).alias("n_neighbors"))
+    n = neighbours(m).groupBy("node").agg(F.count(F.lit(1)).alias("n_neighbors"))
     return base.join(n, "node", "left").withColumn("n_neighbors", F.coalesce("n_neighbors", F.lit(0)))
 
 
 def edge_overlaps(m: DataFrame) -> DataFrame:
     """(edge_a, edge_b, overlap, size_a, size_b, min_share, jaccard) of edges that share a node."""
     s = m.join(_sizes(m), "edge").select("node", "edge", "size")
-    a = s.select("node", F.col("edge").alias("edge_a"), F.col("size").alias("size_a"))
-    b = s.select("node", F.col("edge").alias("edge_b"), F.col("size").alias("size_b"))
-    o = a.join(b, "node").where("edge_a < edge_b").groupBy("edge_a", "edge_b").agg(F.count(F.lit(1)).alias("overlap"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    o = _paired(s, "node", "edge", "size").groupBy("edge_a", "edge_b").agg(F.count(F.lit(1)).alias("overlap"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
     return o.withColumns({"min_share": F.col("overlap") / F.least("size_a", "size_b"), "jaccard": F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))})
 
 
@@ -48,8 +70,7 @@ def edge_measures(m: DataFrame, s: int = 1, neighbours: bool = False) -> DataFra
     inc = o.select(F.explode(F.array("edge_a", "edge_b")).alias("edge")).groupBy("edge").agg(F.count(F.lit(1)).alias("n_incident_edges"))
     out = base.join(inc, "edge", "left").withColumn("n_incident_edges", F.coalesce("n_incident_edges", F.lit(0)))
     if neighbours:
-        p = node_pairs(m).select("node_a", "node_b").distinct()
-        near = p.select(F.col("node_a").alias("node"), F.col("node_b").alias("o")).unionByName(p.select(F.col("node_b").alias("node"), F.col("node_a").alias("o")))
+        near = neighbours(m)
         reach = m.select("edge", "node").join(near, "node").select("edge", F.col("o").alias("node")).distinct()
         n = reach.join(m.select("edge", "node"), ["edge", "node"], "left_anti").groupBy("edge").agg(F.count(F.lit(1)).alias("n_neighbors"))
         out = out.join(n, "edge", "left").withColumn("n_neighbors", F.coalesce("n_neighbors", F.lit(0)))
@@ -69,11 +90,18 @@ def summary(m: DataFrame) -> DataFrame:
 
 
 def distribution(values: DataFrame, column: str) -> DataFrame:
-    """(value, n, proportion, ccdf): ccdf is the share of values at least as large."""
+    """(value, n, proportion, ccdf): ccdf is the share of values at least as large. The distinct values
+    are ranked by range, their running sum is that of the partitions before plus that inside one."""
     g = values.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("n").over(Window.partitionBy())
-    return g.select("value", "n", (F.col("n") / total).alias("proportion"), (F.sum("n").over(w) / total).alias("ccdf"))
+    placed = cut(with_total(g, every="n").repartitionByRange(F.desc("value")).withColumn("_p", F.spark_partition_id()))
+    sums, before = [], 0
+    for p, n in sorted(map(tuple, placed.groupBy("_p").agg(F.sum("n")).collect())):
+        sums.append((p, before))
+        before += n
+    starts = values.sparkSession.createDataFrame(sums, "_p int, _before long")
+    w = Window.partitionBy("_p").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.join(F.broadcast(starts), "_p").withColumn("upto", F.sum("n").over(w) + F.col("_before"))
+    return upto.select("value", "n", (F.col("n") / F.col("every")).alias("proportion"), (F.col("upto") / F.col("every")).alias("ccdf"))
 
 
 def summarise(values: DataFrame, column: str) -> DataFrame:
@@ -108,7 +136,8 @@ def components(m: DataFrame, max_rounds: int = 60) -> DataFrame:
 def component_table(m: DataFrame) -> DataFrame:
     """(component, n_nodes, n_edges, share, rank), largest first, ties by name."""
     c = components(m).groupBy("component").agg(F.sum((F.col("kind") == "node").cast("long")).alias("n_nodes"), F.sum((F.col("kind") == "edge").cast("long")).alias("n_edges"))
-    return c.withColumns({"share": F.col("n_nodes") / F.sum("n_nodes").over(Window.partitionBy()), "rank": F.row_number().over(Window.orderBy(F.desc("n_nodes"), "component"))})
+    c = with_total(cut(c), every="n_nodes").withColumn("share", F.col("n_nodes") / F.col("every")).drop("every")
+    return numbered(c, F.desc("n_nodes"), "component")
 
 
 def clique_projection(m: DataFrame, weighted: bool = False) -> DataFrame:

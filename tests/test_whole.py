@@ -100,11 +100,67 @@ def test_coclusters_of_a_wide_and_of_a_tall_matrix(spark, wide):
     assert got["n00000"] != got["n00007"] and got["e00000"] == got["n00000"] and got["e05999"] == got["n00007"]
 
 
-def test_complex_of_a_five_clique_and_faces_of_a_large_set(spark, tmp_path):
+def test_complex_of_a_five_clique_and_faces_of_a_large_set(spark):
     from polyad.operators import simplicial as K
 
-    spark.createDataFrame([(1, s, 1, 1.0) for s in range(5)], "l_partkey long, l_suppkey long, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert {r["dimension"]: r["n"] for r in Q.clique_f_vector(spark, str(tmp_path)).collect()} == {0: 5, 1: 10, 2: 10, 3: 5, 4: 1}
-    assert Q.clique_euler(spark, str(tmp_path)).first()[0] == 1
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in combinations("abcde", 2)], "a string, b string, weight double")
+    sc = K.cliques(edges, None)
+    assert {r["dimension"]: r["n"] for r in K.f_vector(sc).collect()} == {0: 5, 1: 10, 2: 10, 3: 5, 4: 1}
+    assert K.euler(sc).first()[0] == 1
     big = spark.createDataFrame([([f"v{i:02d}" for i in range(18)], 2)], "members array<string>, count int")
     assert {r["dimension"]: r["n"] for r in K.f_vector(K.close(big, 2)).collect()} == {0: 18, 1: 153, 2: 816}
+
+
+H = [["a", "b", "c"], ["b", "c", "d"], ["d", "e"], ["a", "e"], ["e", "f", "g"]]
+
+
+def small(spark):
+    return spark.createDataFrame([(n, f"h{j}", 1.0) for j, e in enumerate(H) for n in e], "node string, edge string, weight double")
+
+
+def test_walks_at_their_fixed_points(spark):
+    from polyad.errors import NoConverge
+    from polyad.operators import spectral as P
+
+    nodes = sorted({n for e in H for n in e})
+    h = np.array([[n in e for e in H] for n in nodes], float)
+    d, k = h.sum(1), h.sum(0)
+    walk = (h / d[:, None]) @ (h / k).T
+    r = np.linalg.solve(np.eye(len(nodes)) - 0.85 * walk.T, np.full(len(nodes), 0.15 / len(nodes)))
+    got = dict(map(tuple, P.pagerank(small(spark)).collect()))
+    assert np.allclose([got[n] for n in nodes], r / r.sum(), atol=1e-9)
+    a = h @ h.T - np.diag(d)
+    alpha = 0.5 / a.sum(1).max()
+    got = dict(map(tuple, P.katz(small(spark)).collect()))
+    assert np.allclose([got[n] for n in nodes], np.linalg.solve(np.eye(len(nodes)) - alpha * a, alpha * a.sum(1)), atol=1e-9)
+    with pytest.raises(NoConverge):
+        P.katz(small(spark), 0.9, iterations=12)
+    with pytest.raises(NoConverge):
+        P.pagerank(small(spark), iterations=4)
+    s = (h / np.sqrt(d)[:, None] / k) @ (h / np.sqrt(d)[:, None]).T
+    y = np.zeros((len(nodes), 2))
+    y[0, 0] = y[6, 1] = 0.1
+    f = np.linalg.solve(np.eye(len(nodes)) - 0.9 * s, y)
+    seeds = spark.createDataFrame([("a", "0"), ("g", "1")], "node string, label string")
+    got = {x["node"]: (x["predicted"], x["score"]) for x in P.spread_labels(small(spark), seeds, xi=0.9).collect()}
+    assert all(got[n][0] == str(f[i].argmax()) and np.isclose(got[n][1], f[i].max(), atol=1e-7) for i, n in enumerate(nodes))
+    top = dict(map(tuple, P.clique_eigenvector(small(spark)).collect()))
+    w, v = np.linalg.eigh((a > 0).astype(float))
+    assert np.allclose([top[n] for n in nodes], np.abs(v[:, -1]), atol=1e-6)
+
+
+def test_large_edges_and_popular_nodes_are_paired_in_blocks(spark, monkeypatch):
+    want = sorted(map(tuple, S.node_pairs(small(spark)).select("edge", "node_a", "node_b").collect()))
+    over = sorted(map(tuple, S.edge_overlaps(small(spark)).select("edge_a", "edge_b", "overlap").collect()))
+    monkeypatch.setattr(S, "PAIR_BLOCK", 1)
+    assert sorted(map(tuple, S.node_pairs(small(spark)).select("edge", "node_a", "node_b").collect())) == want
+    assert sorted(map(tuple, S.edge_overlaps(small(spark)).select("edge_a", "edge_b", "overlap").collect())) == over
+
+
+def test_ranks_over_partitions(spark):
+    from polyad.plans.rank import numbered
+
+    df = spark.range(1000).selectExpr("id", "(id * 37) % 101 as v").repartition(7)
+    got = numbered(df, "v", "id").orderBy("rank").collect()
+    assert [(r["v"], r["id"]) for r in got] == sorted((r["v"], r["id"]) for r in got) and [r["rank"] for r in got] == list(range(1, 1001))
+    assert numbered(df.limit(0), "v", "id").count() == 0
