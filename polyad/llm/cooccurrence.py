@@ -58,15 +58,14 @@ def pair_counts(members: DataFrame, group: str = "hg", basket: str = "edge", ite
     left = whole.join(bounded(degree.select("g", "i")), ["g", "i"], "left_semi").withColumn("p", F.pmod(F.xxhash64(F.lit(2), "i"), F.col("nb")).cast("int"))
     blocks = left.groupBy("g", "b", "w", "nb", "p").agg(F.collect_list("i").alias("xs"))
     blocks = cut(blocks.where("nb > 1 or size(xs) > 1"))
-    inside = blocks.select("g", "w", "xs", F.col("xs").alias("ys"), F.lit(True).alias("inside"))
+    made = blocks.groupBy("g", "b").agg(F.sum(F.size("xs")).alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n") / 2), F.lit(0.0)).alias("n")).first()["n"]
+    inside = blocks.select("g", "w", "xs", F.lit(None).cast("array<int>").alias("ys"))
     wide = blocks.where("nb > 1")
     ahead = wide.where("p < nb - 1").select("g", "b", "w", "xs", F.explode(F.sequence(F.col("p") + 1, F.col("nb") - 1)).alias("p"))
-    across = ahead.join(wide.select("g", "b", "p", F.col("xs").alias("ys")), ["g", "b", "p"]).select("g", "w", "xs", "ys", F.lit(False).alias("inside"))
-    two = cut(inside.unionByName(across))
-    made = two.agg(F.coalesce(F.sum(F.size("xs").cast("long") * F.size("ys")), F.lit(0)).alias("n")).first()["n"]
-    tasks = max(spark.sparkContext.defaultParallelism, made // PAIRS_PER_TASK)
-    two = two.repartition(int(tasks))
-    pair = two.select("g", "w", "inside", F.explode("xs").alias("s"), "ys").select("g", "w", "inside", "s", F.explode("ys").alias("t")).where("not inside or s < t")
+    across = ahead.join(wide.select("g", "b", "p", F.col("xs").alias("ys")), ["g", "b", "p"]).select("g", "w", "xs", "ys")
+    two = inside.unionByName(across).repartition(max(spark.sparkContext.defaultParallelism, int(made) // PAIRS_PER_TASK))
+    pair = two.select("g", "w", F.explode("xs").alias("s"), F.coalesce("ys", "xs").alias("t"), F.col("ys").isNull().alias("inside"))
+    pair = pair.select("g", "w", "inside", "s", F.explode("t").alias("t")).where("not inside or s < t")
     ab = pair.select("g", "w", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
     key = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
     c = ab.select("g", "w", key.alias("ab")).groupBy("g", "ab").agg(F.sum("w").alias("n_both")).where(F.col("n_both") >= min_count)
