@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyad.errors import BadInput, NonpositiveSimilarity
+from polyad.plans.rank import numbered
 from polyad.plans.session import need
 
 
@@ -44,8 +45,8 @@ def groups(log: DataFrame, actor: str, group: str, weight: str | None = None) ->
 def edge_list(pairs: DataFrame, source: str, target: str, weight: str | None = None) -> DataFrame:
     """Each row as an edge of two members e1..en in the order of (source, target); a loop has one."""
     rows = pairs.select(F.col(source).cast("string").alias("a"), F.col(target).cast("string").alias("b"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight")).dropna()
-    numbered = rows.withColumn("edge", F.concat(F.lit("e"), F.row_number().over(Window.orderBy("a", "b", "weight"))))
-    return numbered.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node"), "edge", "weight")
+    named = numbered(rows, "a", "b", "weight", name="k").withColumn("edge", F.concat(F.lit("e"), F.col("k")))
+    return named.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node"), "edge", "weight")
 
 
 def delimited(log: DataFrame, members: str, group: str, separator: str = ";") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyad.errors import BadInput, DenseTooLarge, LongFormat, NotErgodic
+from polyad.plans.rank import numbered
 from polyad.plans.session import cut, need
 
 MAX_STATES = 4000
@@ -138,8 +139,9 @@ def path_counts(seqs: DataFrame, length: int, top: int | None = None) -> DataFra
     g = g.select(path.alias("path"), "count")
     total = g.agg(F.sum("count").alias("_t"))
     g = g.crossJoin(F.broadcast(total)).select("path", "count", F.round(F.col("count") / F.col("_t"), 4).alias("proportion"))
-    ranked = g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "path")))
-    return ranked if top is None else ranked.where(F.col("rank") <= top)
+    if top is not None:  # only the head is sorted
+        g = g.orderBy(F.desc("count"), "path").limit(top)
+    return numbered(g, F.desc("count"), "path")
 
 
 def path_dependence(seqs: DataFrame, order: int = 2, min_count: int = 5, base: float = 2.0) -> DataFrame:
@@ -229,7 +231,7 @@ def bootstrap(seqs: DataFrame, n_boot: int = 100, order: int = 1, level: float =
     if not 0 < level < 1:
         raise BadInput("level lies between 0 and 1")
     per = cut(kgrams(seqs.withColumn("_s", F.col("seq_id")), order, ["_s"]).where(F.col("order") == order))
-    ids = seqs.select("seq_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("seq_id")) - 1)
+    ids = numbered(seqs.select("seq_id").distinct(), "seq_id", name="k").withColumn("k", F.col("k") - 1)
     ids = cut(ids)
     n = ids.count()
     reps = seqs.sparkSession.range(n_boot).withColumnRenamed("id", "rep")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from polyad.errors import BadInput
 from polyad.functions.stats import hypergeometric_tails, p_adjust
 from polyad.operators.hypergraph import collapse_duplicates
-from polyad.plans.rank import numbered, with_total
+from polyad.plans.rank import numbered, running, with_total
 from polyad.plans.session import bounded, cut
 
 
@@ -93,15 +93,8 @@ def distribution(values: DataFrame, column: str) -> DataFrame:
     """(value, n, proportion, ccdf): ccdf is the share of values at least as large. The distinct values
     are ranked by range, their running sum is that of the partitions before plus that inside one."""
     g = values.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    placed = cut(with_total(g, every="n").repartitionByRange(F.desc("value")).withColumn("_p", F.spark_partition_id()))
-    sums, before = [], 0
-    for p, n in sorted(map(tuple, placed.groupBy("_p").agg(F.sum("n")).collect())):
-        sums.append((p, before))
-        before += n
-    starts = values.sparkSession.createDataFrame(sums, "_p int, _before long")
-    w = Window.partitionBy("_p").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    upto = placed.join(F.broadcast(starts), "_p").withColumn("upto", F.sum("n").over(w) + F.col("_before"))
-    return upto.select("value", "n", (F.col("n") / F.col("every")).alias("proportion"), (F.col("upto") / F.col("every")).alias("ccdf"))
+    r = running(with_total(cut(g), every="n"), [F.desc("value")], "upto", "n")
+    return r.select("value", "n", (F.col("n") / F.col("every")).alias("proportion"), (F.col("upto") / F.col("every")).alias("ccdf"))
 
 
 def summarise(values: DataFrame, column: str) -> DataFrame:

@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from polyad.errors import BadInput, UnparsedTime
 from polyad.plans.session import need
 
-# Names under which a role is looked for, in order of priority.
+# Names under which a role is looked for, in order of priority, and the formats of times.
 ROLE_NAMES = {
-    "from": ["from", "source", "citing"], "to": ["to", "target", "cited"], "start": ["start", "begin", "onset", "from_time"], "end": ["end", "stop", "terminus", "to_time"],
-    "duration": ["duration"], "time": ["time", "timestamp", "date", "datetime"], "thread": ["thread"], "session": ["session", "sessionid"], "group": ["group", "edge", "hyperedge"], "actor": ["actor", "node", "user", "member"], "weight": ["weight"],
+    "from": ["from", "source", "sender", "tail", "ego", "actor1", "node1", "sourceid", "fromid", "i"],
+    "to": ["to", "target", "receiver", "head", "alter", "actor2", "node2", "targetid", "toid", "j"],
+    "start": ["start", "onset", "begin", "starttime", "startdate", "tstart", "fromtime"],
+    "end": ["end", "terminus", "finish", "endtime", "enddate", "tend", "totime", "stop"],
+    "duration": ["duration", "dur", "elapsed", "length", "lasted"],
+    "time": ["time", "timestamp", "datetime", "date", "when", "t", "occurred", "createdat", "posttime"],
+    "thread": ["thread", "threadid", "discussion", "discussiontitle", "topic", "conversation", "parent", "postid", "root"],
+    "session": ["session", "period", "wave", "phase", "cohort", "course"],
+    "group": ["group", "event", "context", "room", "class", "meeting", "venue", "team", "channel"],
+    "actor": ["actor", "person", "member", "student", "participant", "user", "id", "name"],
+    "weight": ["weight", "weights", "strength"],
 }
-FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "dd-MM-yyyy", "yyyyMMdd"]
+FORMATS = [
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy",
+    "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm", "dd-MM-yyyy", "d MMM yyyy HH:mm", "d MMMM yyyy HH:mm", "d MMM yyyy", "d MMMM yyyy",
+]
 
 
 def find_roles(df: DataFrame) -> dict[str, str]:
@@ -83,18 +95,39 @@ def snapshots(s: DataFrame, times: DataFrame, mode: str = "active", window: str
     return k.select("t", F.explode("members").alias("node"), "edge", F.lit(1.0).alias("weight"))
 
 
+#: Times of a grid at most; a grid is broadcast, or goes into expressions.
+MAX_TIMES = 100_000
+
+
 def growth(s: DataFrame, times: DataFrame, window: str | None = None) -> DataFrame:
-    """(t, nodes, edges, distinct_edges, memberships, cum_nodes, cum_edges, cum_memberships)."""
+    """(t, nodes, edges, distinct_edges, memberships, cum_nodes, cum_edges, cum_memberships). What has
+    begun by t is counted from the first time of each node, edge and membership, once each, and
+    summed along the grid; the log is not joined to every time for that."""
+    a = active(s, times, "active", window).select("t", "node", "edge").distinct()
+    e = a.groupBy("t", "edge").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2"))
+    by_edge = e.groupBy("t").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("h1", "h2", "c").alias("distinct_edges"), F.sum("c").alias("memberships"))
+    by_node = a.groupBy("t").agg(F.count_distinct("node").alias("nodes"))
+    grid_ = [r["t"] for r in times.select("t").distinct().orderBy("t").limit(MAX_TIMES + 1).collect()]
+    if len(grid_) > MAX_TIMES:
+        raise BadInput(f"a grid of more than {MAX_TIMES} times")
+    upto = F.expr(f"t + interval {window}") if window else F.col("t")
+    marks = F.array(*[F.struct(F.lit(t).alias("t")) for t in grid_]) if len(grid_) <= 64 else None
 
-    def count(mode: str, p: str) -> DataFrame:
-        a = active(s, times, mode, window).select("t", "node", "edge").distinct()
-        e = a.groupBy("t", "edge").agg(F.count(F.lit(1)).alias("c"), F.hash(F.array_sort(F.collect_list("node"))).alias("h1"), F.xxhash64(F.array_sort(F.collect_list("node"))).alias("h2"))
-        by_edge = e.groupBy("t").agg(F.count(F.lit(1)).alias(p + "edges"), F.count_distinct("h1", "h2").alias(p + "distinct_edges"), F.sum("c").alias(p + "memberships"))
-        by_node = a.groupBy("t").agg(F.count_distinct("node").alias(p + "nodes"))
-        return by_edge.join(by_node, "t")
+    def first(*keys: str) -> DataFrame:
+        f = s.groupBy(*keys).agg(F.min("start").alias("start"))
+        begun = (lambda t: F.col("start") < t + F.expr(f"interval {window}")) if window else (lambda t: F.col("start") <= t)
+        if marks is not None:
+            f = f.select(F.array_min(F.transform(F.filter(marks, lambda x: begun(x["t"])), lambda x: x["t"])).alias("t"))
+        else:
+            f = f.groupBy("start").agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(times.select("t")), F.col("start") < upto if window else F.col("start") <= upto).groupBy("start", "m").agg(F.min("t").alias("t"))
+            return f.where("t is not null").groupBy("t").agg(F.sum("m").alias("n"))
+        return f.where("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
 
-    j = times.select("t").join(count("active", ""), "t", "left").join(count("cumulative", "cum_").drop("cum_distinct_edges"), "t", "left")
-    return j.na.fill(0).select("t", "nodes", "edges", "distinct_edges", "memberships", "cum_nodes", "cum_edges", "cum_memberships")
+    out = times.select("t").distinct().join(by_edge, "t", "left").join(by_node, "t", "left")
+    along = Window.partitionBy(F.lit(0)).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # the grid, at most MAX_TIMES rows
+    for name, keys in (("cum_nodes", ["node"]), ("cum_edges", ["edge"]), ("cum_memberships", ["node", "edge"])):
+        out = out.join(first(*keys).withColumnRenamed("n", "_n"), "t", "left").withColumn(name, F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
+    return out.na.fill(0).select("t", "nodes", "edges", "distinct_edges", "memberships", "cum_nodes", "cum_edges", "cum_memberships")
 
 
 def snapshot_edges(s: DataFrame, times: DataFrame, mode: str = "active") -> DataFrame:
@@ -108,4 +141,5 @@ def snapshot_edges(s: DataFrame, times: DataFrame, mode: str = "active") -> Data
 def clock(df: DataFrame, column: str, unit_seconds: float = 86400.0) -> DataFrame:
     """``df`` with ``column`` as a double: units since its least value."""
     us = F.unix_micros(F.col(column).cast("timestamp"))
-    return df.withColumn(column, (us - F.min(us).over(Window.partitionBy())) / F.lit(unit_seconds * 1e6))
+    least = df.agg(F.min(us).alias("_least"))
+    return df.crossJoin(F.broadcast(least)).withColumn(column, (us - F.col("_least")) / F.lit(unit_seconds * 1e6)).drop("_least")

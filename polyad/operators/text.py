@@ -7,13 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyad.errors import BadInput, DenseTooLarge, EmptyCorpus
+from polyad.plans.rank import running, with_total
 from polyad.plans.session import cut, need
 
-# Common English function words.
+# The stop words, as vocabularies must agree on them.
 STOP_WORDS = (
-    "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing down during each few for from further had has have having he her here hers "
-    "him his how i if in into is it its just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to "
-    "too under until up very was we were what when where which while who whom why will with you your"
+    "the a an and or of to in on for with by from as at this that these those is are was were be been being it its we our their they has have had not no but which "
+    "who during into through between among also can could may will would than then there here such more most other both each all some any how what when where while because about"
 ).split()
 _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}
 
@@ -73,10 +73,9 @@ def word_counts(words: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, min_count: int = 1, max_words: int | None = None, coverage: float = 1.0) -> DataFrame:
     """(word, count, doc_freq, rank) of the words kept: count at least ``min_count``, rank (count
     descending, then word) at most ``max_words`` and at most the first rank whose running share reaches
-    ``coverage``. Only the vocabulary itself is ranked."""
+    ``coverage``. The vocabulary is ranked by range, no task sees all of it."""
     v = counts.groupBy("word").agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("doc_freq"))
-    w = Window.orderBy(F.desc("count"), "word")
-    v = v.withColumns({"rank": F.row_number().over(w), "run": F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("count").over(Window.partitionBy())})
+    v = running(with_total(cut(v), all="count"), [F.desc("count"), "word"], "run", "count")
     before = (F.col("run") - F.col("count")) / F.col("all")
     keep = (F.col("count") >= min_count) & (before < coverage - 1.5e-8)
     return v.where(keep if max_words is None else keep & (F.col("rank") <= max_words)).select("word", "count", "doc_freq", "rank")

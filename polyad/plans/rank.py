@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyad.plans.session import cut
@@ -29,3 +29,24 @@ def with_total(df: DataFrame, **sums: str | Column) -> DataFrame:
     """``df`` with whole-table sums as columns: a two-stage aggregate whose one row is broadcast."""
     row = df.agg(*[F.sum(c).alias(k) for k, c in sums.items()])
     return df.crossJoin(F.broadcast(row))
+
+
+_MERGE = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def running(df: DataFrame, order: list, name: str, value, how: str = "sum", rank: str = "rank") -> DataFrame:
+    """``df`` with its row number ``rank`` in ``order`` and ``name``, the sum, min or max of ``value`` (a
+    column, or a function of the row number's column) over the rows up to each. A range partition
+    takes what the partitions before it come to, one value each, and goes on from there."""
+    placed = numbered(df, *order, name=rank).withColumn("_v", value(F.col(rank)) if callable(value) else F.col(value) if isinstance(value, str) else value)
+    placed = cut(placed.repartitionByRange(rank).withColumn("_p", F.spark_partition_id()))
+    carry, before = None, []
+    for p, v in sorted(map(tuple, placed.groupBy("_p").agg(_AGG[how]("_v")).collect())):
+        before.append((p, carry))
+        carry = v if carry is None else {"sum": carry + v, "min": min(carry, v), "max": max(carry, v)}[how]
+    kind = "double" if any(isinstance(c, float) for _, c in before) else "long"
+    starts = df.sparkSession.createDataFrame([(p, c if c is None or kind == "long" else float(c)) for p, c in before], f"_p int, _c {kind}")
+    own = _AGG[how]("_v").over(Window.partitionBy("_p").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
+    out = placed.join(F.broadcast(starts), "_p").withColumn(name, own)
+    return out.withColumn(name, F.when(F.col("_c").isNull(), F.col(name)).otherwise(_MERGE[how](F.col(name), F.col("_c")))).drop("_p", "_c", "_v")

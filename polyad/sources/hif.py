@@ -30,18 +30,28 @@ def read_hif(spark: SparkSession, path: str) -> Hypergraph:
 
 
 def write_hif(h: Hypergraph, path: str) -> None:
-    """One HIF document on the driver; for graphs that a JSON document can hold. Weights of 1 throughout
-    are left out."""
-    rows = h.memberships.orderBy("edge", "node").collect()
-    plain = all(r["weight"] == 1.0 for r in rows)
-    inc = [{"edge": r["edge"], "node": r["node"]} | ({} if plain else {"weight": r["weight"]}) for r in rows]
-    doc: dict = {"network-type": "undirected", "metadata": {}, "incidences": inc}
-    for key, table in (("nodes", h.nodes), ("edges", h.edges)):
-        if table is not None:
-            name = key[:-1]
-            doc[key] = [{name: r[name]} | ({"weight": r["edge_weight"]} if "edge_weight" in table.columns and r["edge_weight"] is not None else {}) | ({"attrs": r["attrs"]} if "attrs" in table.columns and r["attrs"] else {}) for r in table.orderBy(name).collect()]
+    """One HIF document, written as rows arrive, a partition at a time on the driver. Weights of 1
+    throughout are left out."""
+    plain = not h.memberships.where("weight <> 1").limit(1).count()
+
+    def rows(key: str, table: DataFrame):
+        if key == "incidences":
+            for r in table.orderBy("edge", "node").toLocalIterator():
+                yield {"edge": r["edge"], "node": r["node"]} | ({} if plain else {"weight": r["weight"]})
+            return
+        name, cols = key[:-1], table.columns
+        for r in table.orderBy(name).toLocalIterator():
+            yield {name: r[name]} | ({"weight": r["edge_weight"]} if "edge_weight" in cols and r["edge_weight"] is not None else {}) | ({"attrs": r["attrs"]} if "attrs" in cols and r["attrs"] else {})
+
     with open(path, "w") as f:
-        json.dump(doc, f)
+        f.write('{"network-type": "undirected", "metadata": {}')
+        for key, table in (("incidences", h.memberships), ("nodes", h.nodes), ("edges", h.edges)):
+            if table is not None:
+                f.write(f', "{key}": [')
+                for i, r in enumerate(rows(key, table)):
+                    f.write((", " if i else "") + json.dumps(r))
+                f.write("]")
+        f.write("}")
 
 
 def write_hif_rows(m: DataFrame, path: str) -> None:
