@@ -50,19 +50,19 @@ def pair_counts(members: DataFrame, group: str = "hg", basket: str = "edge", ite
     m = members.select(F.col(group).alias("g"), F.col(basket).alias("b"), F.col(item).cast("int").alias("i"))
     m = m.where("g is not null and b is not null and i is not null").distinct()
     signed = m.groupBy("g", "b").agg(F.bit_xor(F.xxhash64("i")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "i")).alias("y"), F.count(F.lit(1)).alias("n"))
-    kinds = cut(signed.groupBy("g", "x", "y", "n").agg(F.count(F.lit(1)).alias("w"), F.min("b").alias("b")).select("g", "b", "w", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
+    kinds = cut(signed.groupBy("g", "x", "y", "n").agg(F.count(F.lit(1)).alias("w"), F.min("b").alias("b")).select("g", "b", "w", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")).withColumn("k", F.monotonically_increasing_id()))
     total = kinds.groupBy("g").agg(F.sum("w").alias("n_baskets"))
-    whole = cut(m.join(kinds, ["g", "b"]))
+    whole = cut(m.join(kinds, ["g", "b"]).select("g", "k", "w", "nb", "i"))
     degree = whole.groupBy("g", "i").agg(F.sum("w").alias("d"))
     degree = cut(degree.join(bounded(total), "g").where((F.col("d") >= min_count) & (F.col("d") * F.lit(float(min_lift)) <= F.col("n_baskets"))))
     left = whole.join(bounded(degree.select("g", "i")), ["g", "i"], "left_semi").withColumn("p", F.pmod(F.xxhash64(F.lit(2), "i"), F.col("nb")).cast("int"))
-    blocks = left.groupBy("g", "b", "w", "nb", "p").agg(F.collect_list("i").alias("xs"))
+    blocks = left.groupBy("g", "k", "w", "nb", "p").agg(F.collect_list("i").alias("xs"))
     blocks = cut(blocks.where("nb > 1 or size(xs) > 1"))
-    made = blocks.groupBy("g", "b").agg(F.sum(F.size("xs")).alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n") / 2), F.lit(0.0)).alias("n")).first()["n"]
+    made = blocks.groupBy("k").agg(F.sum(F.size("xs")).alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n") / 2), F.lit(0.0)).alias("n")).first()["n"]
     inside = blocks.select("g", "w", "xs", F.lit(None).cast("array<int>").alias("ys"))
     wide = blocks.where("nb > 1")
-    ahead = wide.where("p < nb - 1").select("g", "b", "w", "xs", F.explode(F.sequence(F.col("p") + 1, F.col("nb") - 1)).alias("p"))
-    across = ahead.join(wide.select("g", "b", "p", F.col("xs").alias("ys")), ["g", "b", "p"]).select("g", "w", "xs", "ys")
+    ahead = wide.where("p < nb - 1").select("g", "k", "w", "xs", F.explode(F.sequence(F.col("p") + 1, F.col("nb") - 1)).alias("p"))
+    across = ahead.join(wide.select("k", "p", F.col("xs").alias("ys")), ["k", "p"]).select("g", "w", "xs", "ys")
     two = inside.unionByName(across).repartition(max(spark.sparkContext.defaultParallelism, int(made) // PAIRS_PER_TASK))
     pair = two.select("g", "w", F.explode("xs").alias("s"), F.coalesce("ys", "xs").alias("t"), F.col("ys").isNull().alias("inside"))
     pair = pair.select("g", "w", "inside", "s", F.explode("t").alias("t")).where("not inside or s < t")
