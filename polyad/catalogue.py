@@ -869,3 +869,169 @@ def topic_exclusivity(spark, d):
 @query("select s_suppkey, s_nationkey, s_acctbal, not exists (select 1 from supplier o where o.s_nationkey >= s.s_nationkey and o.s_acctbal >= s.s_acctbal and (o.s_nationkey > s.s_nationkey or o.s_acctbal > s.s_acctbal)) as frontier from supplier s")
 def pareto_frontier(spark, d):
     return X.dominant(table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_nationkey", "s_acctbal"])
+
+
+# ---- further constructors and readers -----------------------------------------------------------
+
+
+@query("""with e as (select cast(o_custkey as varchar) a, cast(o_orderpriority as varchar) b, o_totalprice w, row_number() over (order by cast(o_custkey as varchar), cast(o_orderpriority as varchar), o_totalprice) k
+  from orders where o_custkey is not null and o_orderpriority is not null and o_totalprice is not null)
+select a as node, 'e' || k as edge, round(w, 4) as weight from e union all select b, 'e' || k, round(w, 4) from e where b <> a""")
+def edge_list_orders(spark, d):
+    return rounded(H.edge_list(table(spark, d, "orders"), "o_custkey", "o_orderpriority", "o_totalprice"), "weight", digits=4)
+
+
+@query("""select trim(x) as node, cast(p_partkey as varchar) as edge, cast(1 as double) as weight from (select p_partkey, unnest(string_split(p_name, ' ')) x from part where p_name is not null) where trim(x) <> '' group by all""")
+def delimited_part_names(spark, d):
+    return H.delimited(table(spark, d, "part"), "p_name", "p_partkey", " ")
+
+
+@query("""with w as (select cast(o_orderkey as varchar) seq_id, [cast(o_orderstatus as varchar), case when o_orderpriority like '1%' then null else o_orderpriority end, case when o_totalprice > 150000 then cast(o_orderstatus as varchar) end] a from orders where o_orderkey is not null),
+e as (select seq_id, a, list_max([case when a[i] is not null then i end for i in [1, 2, 3]]) z from w),
+x as (select seq_id, unnest(a) state, generate_subscripts(a, 1) pos, z from e) select seq_id, cast(pos as int) as pos, state from x where pos <= z""")
+def wide_to_long(spark, d):
+    o = table(spark, d, "orders").where("o_orderkey is not null")
+    wide = o.select("o_orderkey", F.col("o_orderstatus").alias("T1"), F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")).alias("T2"), F.when(F.col("o_totalprice") > 150000, F.col("o_orderstatus")).alias("T3"))
+    return Q.from_wide(wide, "o_orderkey", ["T1", "T2", "T3"])
+
+
+@query(rf"""with {TOKENS}, led as (select doc, pos, [word, lead(word, 1) over w, lead(word, 2) over w] win from words window w as (partition by doc order by pos)),
+s as (select list_sort(list_distinct(list_filter(win, lambda x: x is not null))) s from led where (pos - 1) % 3 = 0)
+select array_to_string(s, ' | ') as edge, cast(count(*) as double) as edge_weight, len(s) as size from s group by s""")
+def text_windows_tumbling(spark, d):
+    return X.text_windows(_words(spark, d), 3, tumbling=True)[1]
+
+
+@query("""select spell_id, strptime(strftime("start", '%d/%m/%Y %H:%M'), '%d/%m/%Y %H:%M') as t from interval_log where "start" is not null""")
+def parsed_times(spark, d):
+    log = table(spark, d, "interval_log").where("`start` is not null").select("spell_id", F.date_format("start", "dd/MM/yyyy HH:mm").alias("t"))
+    return T.parse_times(log, "t").withColumn("t", F.col("t").cast("timestamp_ntz"))
+
+
+@query("""select event_id, round((epoch_us(ts) - min(epoch_us(ts)) over ()) / 3600e6, 6) as ts from events where ts is not null""")
+def event_clock_hours(spark, d):
+    return rounded(T.clock(table(spark, d, "events").where("ts is not null").select("event_id", "ts"), "ts", 3600.0), "ts")
+
+
+@query("""with s as (select cast(user_id as varchar) seq_id, row_number() over (partition by user_id order by ts, cast(event_id as varchar)) pos, event_type state from events where user_id is not null and ts is not null and event_type is not null) select seq_id, cast(pos as int) as pos, state from s""")
+def sequences_of_documents(spark, d):
+    e = table(spark, d, "events").where("user_id is not null and ts is not null and event_type is not null")
+    return Q.from_documents(e, "user_id", "ts", "event_type", "event_id")
+
+
+# ---- paths, overlap, growth, groups -------------------------------------------------------------
+
+TR = "b as (select distinct actor node, \"group\" edge from interval_log where actor is not null and \"group\" is not null)"
+
+
+def tribunal_groups(spark: SparkSession, d: str) -> DataFrame:
+    return H.groups(table(spark, d, "interval_log"), "actor", "group")
+
+
+def _closeness_sql(s: int, levels: int) -> str:
+    head = f"""{TR}, o as (select x.edge a, y.edge c from b x join b y on x.node = y.node and x.edge <> y.edge group by all having count(*) >= {s}), r0 as (select distinct edge s, edge t, 0 d from b)"""
+    steps = [f"r{k} as materialized (select * from r{k - 1} union all select distinct x.s, o.c, {k} from r{k - 1} x join o on x.t = o.a where x.d = {k - 1} and not exists (select 1 from r{k - 1} y where y.s = x.s and y.t = o.c))" for k in range(1, levels + 1)]
+    return _unrolled(steps, f"select s as edge, {s} as s, 'closeness' as measure, round(case when sum(d) > 0 then (count(*) - 1) / sum(d) * (count(*) - 1) / (select count(distinct edge) - 1 from b) else 0 end, 6) as value from r{levels} group by s", head)
+
+
+@query(_closeness_sql(4, 12))
+def edge_closeness_s4(spark, d):
+    return rounded(S.edge_centrality(tribunal_groups(spark, d), 4), "value")
+
+
+@query()
+def edge_betweenness_s4(spark, d):
+    return S.edge_centrality(tribunal_groups(spark, d), 4, "betweenness")
+
+
+@query(f"""with {TR}, nb as (select distinct x.node x, y.node y from b x join b y on x.edge = y.edge and x.node <> y.node), p as (select distinct x.edge e, y.edge f from b x join b y on x.node = y.node and x.edge <> y.edge),
+al as (select p.e, p.f, b.node x from p join b on b.edge = p.e where not exists (select 1 from b z where z.edge = p.f and z.node = b.node)),
+hit as (select distinct a.e, a.f, a.x from al a join nb on nb.x = a.x join al c on c.e = a.f and c.f = a.e and c.x = nb.y),
+eo as (select p.e, p.f, coalesce(h, 0) / nullif(k, 0) v from p left join (select least(e, f) a, greatest(e, f) z, count(*) h from hit group by all) on a = least(p.e, p.f) and z = greatest(p.e, p.f)
+  left join (select least(e, f) a2, greatest(e, f) z2, count(*) k from al group by all) on a2 = least(p.e, p.f) and z2 = greatest(p.e, p.f)),
+d as (select node, count(*) k from b group by node), s as (select x.node, sum(coalesce(v, 0)) t from b x join b y on x.node = y.node and x.edge < y.edge join eo on eo.e = x.edge and eo.f = y.edge group by x.node)
+select d.node, round(case when k = 1 then 0 else 2 * coalesce(t, 0) / (k * (k - 1)) end, 6) as transitivity from d left join s using (node)""")
+def transitivity_extra_overlap(spark, d):
+    return rounded(S.extra_overlap_transitivity(tribunal_groups(spark, d)), "transitivity")
+
+
+@query(f"""with recursive {SPELLS}, l as (select distinct x.t, x.node a, y.node c from act x join act y on x.t = y.t and x.edge = y.edge), r as (select distinct t, node a, node c from act union select r.t, r.a, l.c from r join l on l.t = r.t and l.a = r.c),
+lab as (select t, a, min(c) k from r group by t, a), g as (select t, k, count(*) n from lab group by t, k)
+select t, coalesce(any_value(c), 0) as n_components, round(any_value(x), 6) as largest_component from grid left join (select t, count(*) c, max(n) / sum(n) x from g group by t) using (t) group by t""")
+def growth_components_yearly(spark, d):
+    g = T.growth_components(tribunal_spells(spark, d), years(spark))
+    return rounded(g.withColumn("t", F.col("t").cast("timestamp_ntz")), "largest_component")
+
+
+@query(f"""with {SEQ}, g as (select state, count(*) c from seq group by state), t as (select sum(c) n from g) select 0 as "order", round(sum(c * ln(c / n)), 6) as log_likelihood, cast(count(*) - 1 as bigint) as parameters, cast(any_value(n) as bigint) as n from g, t""")
+def order_zero_score(spark, d):
+    s = Q.model_scores(event_sequences(spark, d), 1, from_order=0).where(F.col("order") == 0)
+    return rounded(s.select("order", "log_likelihood", "parameters", "n"), "log_likelihood")
+
+
+@query()
+def chosen_order(spark, d):
+    return Q.choose_order(Q.model_scores(event_sequences(spark, d), 3, from_order=0), "bic")
+
+
+GROUPED = """seq as (select cast(user_id as varchar) seq_id, user_id % 3 grp, row_number() over (partition by user_id order by ts, event_id) pos, event_type state from events where user_id is not null and event_type is not null),
+led as (select grp, state s0, lead(state, 1) over w s1, lead(state, 2) over w s2 from seq window w as (partition by seq_id order by pos)),
+g as (select grp, 1 as "order", s0 as context, s1 as target, s0 as last, count(*) as count from led where s1 is not null group by all union all select grp, 2, s0 || ' -> ' || s1, s2, s1, count(*) from led where s2 is not null group by all)"""
+
+
+@query(f"""with {GROUPED}, p as (select *, sum(count) over (partition by grp, "order", context) total from g), q as (select grp, context, target, count / total p, total, last from p where "order" = 2), o as (select grp, context, target, count / total p from p where "order" = 1),
+kl as (select q.grp, q.context, any_value(q.last) cur, any_value(q.total) total, sum(case when o.p is null then 'infinity'::double else q.p * log2(q.p / o.p) end) kl from q left join o on o.grp = q.grp and o.context = q.last and o.target = q.target group by q.grp, q.context),
+leaf as (select grp, case when kl > 2 / log2(1 + total) then context else cur end valid from kl union select grp, context from o where not exists (select 1 from kl where kl.grp = o.grp and kl.cur = o.context)),
+rules as (select grp, valid context from leaf union select grp, split_part(valid, ' -> ', 1) from leaf)
+select cast(p.grp as varchar) as grp, p.context, p."order", p.target, p.count, round(p.count / p.total, 6) as probability from p join rules using (grp, context)""")
+def memory_rules_by_group(spark, d):
+    e = table(spark, d, "events").where("user_id is not null").select(F.col("user_id").cast("string").alias("seq_id"), (F.col("user_id") % 3).cast("string").alias("grp")).distinct()
+    return rounded(Q.memory_rules_by_group(event_sequences(spark, d), e, 2).withColumn("context", Q.rule_label(F.col("context"))), "probability")
+
+
+@query()
+def memory_network_betweenness(spark, d):
+    return N.network_betweenness(_network(spark, d))
+
+
+# ---- dense verbs and topology beside the complex ------------------------------------------------
+
+
+@query()
+def subgraph_centrality(spark, d):
+    return P.subgraph_centrality(tribunal_groups(spark, d))
+
+
+@query()
+def spectral_embedding(spark, d):
+    return P.embed(tribunal_groups(spark, d), 3)
+
+
+@query()
+def cluster_seeds(spark, d):
+    m = tribunal_groups(spark, d)
+    return C.cluster_seeds(P.embed(m, 3), P.spectral_clusters(m, 3).select("node", "cluster"), 2)
+
+
+@query()
+def cluster_stability(spark, d):
+    return L.cluster_stability(tribunal_groups(spark, d), 3)
+
+
+@query(f"with {COMPLEX} select cast(sum(case when len(m) % 2 = 1 then 1 else -1 end) as bigint) as alternating from sx")
+def betti_alternating_sum(spark, d):
+    """Betti numbers, as their alternating sum, which is the Euler characteristic."""
+    return K.betti(neighbour_complex(spark, d)).agg(F.sum(F.when(F.col("dimension") % 2 == 0, F.col("betti")).otherwise(-F.col("betti"))).cast("long").alias("alternating"))
+
+
+@query()
+def persistence_landscape(spark, d):
+    grid = spark.range(0, 101).select((F.col("id") / 100).alias("t"))
+    return K.landscape(K.homology(neighbour_complex(spark, d)), grid)
+
+
+@query("select 40 as edges, 3 as least_size, 3 as largest_size")
+def sampled_uniform_shape(spark, d):
+    """Random hypergraph of 60 nodes and 40 edges of three: every edge has its size."""
+    m = H.sample_uniform(spark, 60, 40, 3).groupBy("edge").agg(F.count(F.lit(1)).alias("k"))
+    return m.agg(F.count(F.lit(1)).cast("int").alias("edges"), F.min("k").cast("int").alias("least_size"), F.max("k").cast("int").alias("largest_size"))

@@ -7,7 +7,6 @@ probability, from_order, to_order); a node's label lists its states, " -> " betw
 from __future__ import annotations
 
 import math
-from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,6 +16,7 @@ from polyad.errors import BadInput, DenseTooLarge, NotErgodic
 from polyad.functions.stats import hypergeometric_tails, p_adjust
 from polyad.operators.communities import louvain
 from polyad.operators.sequences import kgrams, rule_label
+from polyad.operators.paths import betweenness, shortest_paths
 from polyad.plans.session import cut
 
 MAX_NODES = 3000
@@ -66,36 +66,30 @@ def network_pagerank(net: DataFrame, damping: float = 0.85, rounds: int = 50, we
     return r.select("node", F.col("r").alias("value"))
 
 
-def network_distances(net: DataFrame) -> dict[tuple[str, str], int]:
-    """Least first-order distance between states: hops from a node that ends in the first... to a node that
-    ends in the second, plus the order of the start less one."""
-    nodes, w = _graph(net)
-    steps = [np.flatnonzero(row).tolist() for row in w]
-    states = [n.split(" -> ") for n in nodes]
-    best: dict[tuple[str, str], int] = {}
-    for i in range(len(nodes)):
-        seen, todo = {i: 0}, deque([i])
-        while todo:
-            u = todo.popleft()
-            for v in steps[u]:
-                if v not in seen:
-                    seen[v] = seen[u] + 1
-                    todo.append(v)
-        for j, d in seen.items():
-            a, b = states[i][0], states[j][-1]
-            if a != b:
-                k = d + len(states[i]) - 1
-                best[a, b] = min(k, best.get((a, b), k))
-    return best
+def network_distances(net: DataFrame) -> DataFrame:
+    """(a, b, d): least first-order distance between states: hops from a node that starts with the first
+    to a node that ends in the second, plus the order of the start less one. Breadth first from
+    all nodes at once, on tables."""
+    links = net.select(F.col("source").alias("a"), F.col("destination").alias("b"))
+    nodes = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    p = shortest_paths(links, nodes)
+    names = lambda c: F.split(c, " -> ")
+    d = p.select(names(F.col("s"))[0].alias("a"), F.element_at(names(F.col("v")), -1).alias("b"), (F.col("d") + F.size(names(F.col("s"))) - 1).alias("d"))
+    return d.where("a <> b").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def network_closeness(net: DataFrame) -> DataFrame:
     """(state, value): harmonic closeness over incoming first-order distances."""
-    total: dict[str, float] = {}
-    for (a, b), d in network_distances(net).items():
-        total[b] = total.get(b, 0.0) + 1 / d
-        total.setdefault(a, 0.0)
-    return net.sparkSession.createDataFrame(sorted(total.items()), "state string, value double")
+    d = cut(network_distances(net))
+    into = d.groupBy(F.col("b").alias("state")).agg(F.sum(1 / F.col("d")).alias("value"))
+    return into.unionByName(d.select(F.col("a").alias("state"), F.lit(0.0).alias("value")).distinct()).groupBy("state").agg(F.sum("value").alias("value"))
+
+
+def network_betweenness(net: DataFrame, projection: str = "scaled") -> DataFrame:
+    """(state, value): directed betweenness of the network's nodes, unscaled, projected to states."""
+    links = net.select(F.col("source").alias("a"), F.col("destination").alias("b"))
+    nodes = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return project(betweenness(links, nodes, directed=True, normalised=False), projection)
 
 
 def network_embedding(net: DataFrame, dim: int = 8, max_power: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyad.errors import BadInput, DenseTooLarge, LongFormat, NotErgodic
-from polyad.plans.rank import numbered
+from polyad.plans.rank import numbered, with_total
 from polyad.plans.session import cut, need
 
 MAX_STATES = 4000
@@ -174,15 +174,53 @@ def order_tests(seqs: DataFrame, max_order: int = 3) -> DataFrame:
     return g.groupBy("order").agg((2 * F.sum(n * F.log(n * F.col("n_j") / (F.col("n_cj").cast("double") * F.col("n_jk"))))).alias("g2"))
 
 
-def model_scores(seqs: DataFrame, max_order: int = 3) -> DataFrame:
+def model_scores(seqs: DataFrame, max_order: int = 3, from_order: int = 1) -> DataFrame:
     """(order, log_likelihood, n_contexts, parameters, aic, bic, n) of each fixed order. Parameters
-    are the observed transitions less one per context."""
-    d = distributions(kgrams(seqs, max_order))
+    are the observed transitions less one per context. Order 0 (``from_order`` 0) is the distribution of
+    all states; it has one empty context."""
+    d = distributions(kgrams(seqs, max_order)).select("order", "context", "count", "probability")
+    if from_order == 0:
+        zero = seqs.where("state is not null").groupBy("state").agg(F.count(F.lit(1)).alias("count"))
+        zero = with_total(cut(zero), every="count")
+        d = d.unionByName(zero.select(F.lit(0).alias("order"), F.array().cast("array<string>").alias("context"), "count", (F.col("count") / F.col("every")).alias("probability")))
     s = d.groupBy("order").agg(F.sum(F.col("count") * F.log("probability")).alias("log_likelihood"), F.count_distinct("context").alias("n_contexts"), F.count(F.lit(1)).alias("_m"), F.sum("count").alias("n"))
     k = F.col("_m") - F.col("n_contexts")
     return s.select("order", "log_likelihood", "n_contexts", k.alias("parameters"), (2 * k - 2 * F.col("log_likelihood")).alias("aic"), (k * F.log("n") - 2 * F.col("log_likelihood")).alias("bic"), "n")
 
 
+def choose_order(scores: DataFrame, criterion: str = "aic") -> DataFrame:
+    """(order, criterion, value): the order of least aic or bic, ties to the lower order."""
+    if criterion not in ("aic", "bic"):
+        raise BadInput("criterion is aic or bic")
+    return scores.orderBy(criterion, "order").limit(1).select("order", F.lit(criterion).alias("criterion"), F.col(criterion).alias("value"))
+
+
+def from_documents(docs: DataFrame, actor: str, order_by: str, state: str, ident: str = "doc_id", clusters: DataFrame | None = None) -> DataFrame:
+    """Sequences of an actor's documents in the order of ``order_by``, ties by ident as text; the state is
+    a column or, with ``clusters`` (doc, cluster), the cluster of the document. A missing actor, time
+    or state is refused."""
+    need(docs, actor, order_by, ident, *([] if clusters is not None else [state]))
+    d = docs.select(F.col(actor).cast("string").alias("seq_id"), F.col(order_by).alias("_t"), F.col(ident).cast("string").alias("_d"), *([] if clusters is not None else [F.col(state).cast("string").alias("state")]))
+    if clusters is not None:
+        d = d.join(clusters.select(F.col("doc").alias("_d"), F.col("cluster").cast("string").alias("state")), "_d", "left")
+    if d.where("seq_id is null or _t is null or state is null").limit(1).count():
+        raise BadInput("an actor, a time or a state is missing")
+    return d.select("seq_id", F.row_number().over(Window.partitionBy("seq_id").orderBy("_t", "_d")).alias("pos"), "state")
+
+
+_SEP = "\x1f"
+
+
+def memory_rules_by_group(seqs: DataFrame, groups: DataFrame, max_order: int = 5, min_freq: int = 1) -> DataFrame:
+    """(grp, context array, order, target, count, probability): ``memory_rules`` of each group of sequences
+    (seq_id, grp), all groups in the same joins: states carry their group's name while rules grow, so
+    no context lies in two groups. Sequences without a group are left out."""
+    named = seqs.join(groups.where("grp is not null").select("seq_id", F.col("grp").cast("string").alias("grp")), "seq_id")
+    r = memory_rules(named.select("seq_id", "pos", F.concat("grp", F.lit(_SEP), "state").alias("state")), max_order, min_freq)
+    plain = lambda c: F.element_at(F.split(c, _SEP), 2)
+    return r.select(F.split("target", _SEP)[0].alias("grp"), F.transform("context", plain).alias("context"), "order", plain(F.col("target")).alias("target"), "count", "probability")
+
+
 def transition_matrix(seqs: DataFrame) -> tuple[list[str], np.ndarray]:
     """States in code point order and their counts of transitions, on the driver; guarded."""
     g = kgrams(seqs, 1).select(F.col("context")[0].alias("a"), F.col("target").alias("b"), "count")

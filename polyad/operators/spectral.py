@@ -244,7 +244,7 @@ def subgraph_centrality(m: DataFrame) -> DataFrame:
     nodes = [r[0] for r in m.select("node").distinct().orderBy("node").collect()]
     at = {x: i for i, x in enumerate(nodes)}
     a = np.zeros((n, n))
-    for r in node_pairs(m).select("node_a", "node_b").distinct().toLocalIterator():
+    for r in neighbours(m).where("node < o").toLocalIterator():
         a[at[r[0]], at[r[1]]] = a[at[r[1]], at[r[0]]] = 1
     val, vec = np.linalg.eigh(a)
     top = val.max() if n else 0.0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from polyad.errors import BadInput
 from polyad.functions.stats import hypergeometric_tails, p_adjust
 from polyad.operators.hypergraph import collapse_duplicates
+from polyad.operators.paths import betweenness, closeness
 from polyad.plans.rank import numbered, running, with_total
 from polyad.plans.session import bounded, cut
 
@@ -160,6 +161,45 @@ def line_graph(m: DataFrame, s: int = 1) -> DataFrame:
     return edge_overlaps(m).where(F.col("overlap") >= s).select("edge_a", "edge_b", F.col("overlap").alias("weight"))
 
 
+def edge_centrality(m: DataFrame, s: int = 1, measure: str = "closeness", normalised: bool = True) -> DataFrame:
+    """(edge, s, measure, value) on the graph of edges that share at least ``s`` nodes: closeness with
+    the correction for components, or betweenness over 2 / ((n - 1)(n - 2))."""
+    half = cut(line_graph(m, s).select(F.col("edge_a").alias("a"), F.col("edge_b").alias("b")))
+    links = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    nodes = cut(m.select(F.col("edge").alias("node")).distinct())
+    if measure == "closeness":
+        v = closeness(links, nodes)
+    elif measure == "betweenness":
+        v = betweenness(links, nodes, normalised=normalised)
+    else:
+        raise BadInput("measure is closeness or betweenness")
+    return v.select(F.col("node").alias("edge"), F.lit(s).alias("s"), F.lit(measure).alias("measure"), "value")
+
+
+def extra_overlap(m: DataFrame) -> DataFrame:
+    """(edge_a, edge_b, overlap_beyond): of edges that share a node, the share of members of either alone
+    that have a neighbour among the members of the other alone; 0 for equal edges."""
+    b = cut(m.select("node", "edge"))
+    near = cut(neighbours(m))
+    pairs = cut(edge_overlaps(m).select("edge_a", "edge_b", (F.col("size_a") + F.col("size_b") - 2 * F.col("overlap")).alias("alone")))
+    both = pairs.select(F.col("edge_a").alias("e"), F.col("edge_b").alias("f")).unionByName(pairs.select(F.col("edge_b").alias("e"), F.col("edge_a").alias("f")))
+    only = cut(both.join(b.select(F.col("edge").alias("e"), F.col("node").alias("x")), "e").join(b.select(F.col("edge").alias("f"), F.col("node").alias("x")), ["f", "x"], "left_anti"))
+    # x of e alone, y of f alone, neighbours of each other: counted once by x
+    met = only.join(near.select(F.col("node").alias("x"), F.col("o").alias("y")), "x").join(only.select(F.col("f").alias("e"), F.col("e").alias("f"), F.col("x").alias("y")), ["e", "f", "y"], "left_semi")
+    hits = met.select("e", "f", "x").distinct().groupBy(F.least("e", "f").alias("edge_a"), F.greatest("e", "f").alias("edge_b")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(hits, ["edge_a", "edge_b"], "left").select("edge_a", "edge_b", F.when(F.col("alone") > 0, F.coalesce("n", F.lit(0)) / F.col("alone")).otherwise(0.0).alias("overlap_beyond"))
+
+
+def extra_overlap_transitivity(m: DataFrame) -> DataFrame:
+    """(node, transitivity): the mean ``extra_overlap`` of the pairs of a node's edges; 0 for a node of
+    one edge."""
+    b = m.select("node", "edge")
+    d = b.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    p = _paired(b, "node", "edge").join(extra_overlap(m), ["edge_a", "edge_b"]).groupBy("node").agg(F.sum("overlap_beyond").alias("x"))
+    k = F.col("k")
+    return d.join(p, "node", "left").select("node", F.when(k == 1, 0.0).otherwise(2 * F.coalesce("x", F.lit(0.0)) / (k * (k - 1))).alias("transitivity"))
+
+
 def projection_transitivity(m: DataFrame) -> DataFrame:
     """(node, transitivity): closed two-paths over pairs of neighbours in the clique projection; null
     below two neighbours."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyad.errors import BadInput, UnparsedTime
+from polyad.operators.structure import components
 from polyad.plans.session import need
 
 # Names under which a role is looked for, in order of priority, and the formats of times.
@@ -130,6 +131,16 @@ def growth(s: DataFrame, times: DataFrame, window: str | None = None) -> DataFra
     return out.na.fill(0).select("t", "nodes", "edges", "distinct_edges", "memberships", "cum_nodes", "cum_edges", "cum_memberships")
 
 
+def growth_components(s: DataFrame, times: DataFrame, mode: str = "active") -> DataFrame:
+    """(t, n_components, largest_component): connected components of each snapshot and the share of its
+    nodes in the largest; all snapshots are settled in the same rounds. Empty snapshots have 0 and null."""
+    a = snapshots(s, times, mode).select("t", F.concat_ws("\x1f", F.unix_micros("t"), "node").alias("node"), F.concat_ws("\x1f", F.unix_micros("t"), "edge").alias("edge"))
+    c = components(a).where("kind = 'node'").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    c = c.select(F.timestamp_micros(F.split("component", "\x1f")[0].cast("long")).alias("t"), "n")
+    c = c.groupBy("t").agg(F.count(F.lit(1)).alias("n_components"), (F.max("n") / F.sum("n")).alias("largest_component"))
+    return times.select(F.col("t").cast("timestamp").alias("t")).distinct().join(c, "t", "left").select("t", F.coalesce("n_components", F.lit(0)).alias("n_components"), "largest_component")
+
+
 def snapshot_edges(s: DataFrame, times: DataFrame, mode: str = "active") -> DataFrame:
     """(t, edge, size, n_incident_edges) per snapshot."""
     a = snapshots(s, times, mode)
