@@ -424,8 +424,7 @@ def representations(spark, d):
 @query(f"""with {SO}, {PAIRS}, dg as (select node, count(*) d from b group by all), c as (select node_a, node_b, count(*) observed, a.d * z.d k from pr join dg a on a.node = node_a join dg z on z.node = node_b group by all),
 t as (select sum(k) urn, sum(observed) draws from c) select node_a, node_b, observed, round(draws * k::double / urn, 6) as expected, round(observed / (draws * k::double / urn), 6) as ratio from c, t where observed >= 5""")
 def pair_anomaly_expected(spark, d):
-    a = S.pair_anomaly(supplier_orders(spark, d))
-    return rounded(a.select("node_a", "node_b", "observed", "expected", "ratio"), "expected", "ratio")
+    return rounded(S.pair_expected(supplier_orders(spark, d)), "expected", "ratio")
 
 
 @query()

@@ -7,6 +7,8 @@ lineage in the shared checkpoint folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,9 +17,10 @@ from polyad.errors import BadInput, DenseTooLarge, NoConverge
 from polyad.operators.structure import neighbours
 from polyad.plans.iterate import fixed_point
 from polyad.plans.rank import with_total
-from polyad.plans.session import bounded, cut
+from polyad.plans.session import BROADCAST_ROWS, cut
 
 MAX_DENSE = 5000
+Side = Callable[[DataFrame], DataFrame]
 
 
 def edge_weights(m: DataFrame, given: DataFrame | None = None, kind: str = "random_walk") -> DataFrame:
@@ -38,24 +41,28 @@ def walk(m: DataFrame, omega: DataFrame) -> DataFrame:
     return x.select("node", "edge", (F.col("omega") / F.sum("omega").over(d)).alias("out"), (F.col("weight") / F.col("delta")).alias("into"))
 
 
-def _both_ways(b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The incidence materialised by node and by edge, so that rounds shuffle vectors only."""
+def _both_ways(b: DataFrame) -> tuple[DataFrame, DataFrame, Side, Side]:
+    """The incidence materialised by node and by edge, so that rounds shuffle vectors only, and how a
+    vector over nodes and one over edges is joined to them: broadcast if the hypergraph has few
+    enough of them, counted once."""
     n = int(b.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = cut(b)
-    return cut(once.repartition(n, "node")), cut(once.repartition(n, "edge"))
+    few = once.agg(F.count_distinct("node").alias("n"), F.count_distinct("edge").alias("e")).first()
+    side = lambda k: F.broadcast if k <= BROADCAST_ROWS else (lambda x: x)
+    return cut(once.repartition(n, "node")), cut(once.repartition(n, "edge")), side(few["n"]), side(few["e"])
 
 
 def pagerank(m: DataFrame, damping: float = 0.85, omega: DataFrame | None = None, teleport: DataFrame | None = None, iterations: int = 200, tol: float = 1e-10) -> DataFrame:
     """(node, pagerank) of the walk; ``teleport`` (node, p) defaults to uniform. NoConverge is raised if
     values still move by ``tol`` after ``iterations`` rounds."""
-    by_node, by_edge = _both_ways(walk(m, edge_weights(m, omega)))
+    by_node, by_edge, node_side, edge_side = _both_ways(walk(m, edge_weights(m, omega)))
     nodes = by_node.select("node").distinct()
     base = nodes.join(teleport.select("node", F.col("p").alias("t")), "node", "left").na.fill(0.0) if teleport is not None else nodes.withColumn("t", F.lit(1.0))
     base = cut(with_total(cut(base), every="t").select("node", (F.col("t") / F.col("every")).alias("t")))
 
     def step(r: DataFrame) -> DataFrame:
-        e = by_node.join(r, "node").groupBy("edge").agg(F.sum(F.col("r") * F.col("out")).alias("x"))
-        n = by_edge.join(e, "edge").groupBy("node").agg(F.sum(F.col("x") * F.col("into")).alias("y"))
+        e = by_node.join(node_side(r), "node").groupBy("edge").agg(F.sum(F.col("r") * F.col("out")).alias("x"))
+        n = by_edge.join(edge_side(e), "edge").groupBy("node").agg(F.sum(F.col("x") * F.col("into")).alias("y"))
         return base.join(n, "node", "left").select("node", (F.lit(1 - damping) * F.col("t") + F.lit(damping) * F.coalesce("y", F.lit(0.0))).alias("r"))
 
     r = fixed_point(base.select("node", F.col("t").alias("r")), step, ["node"], "r", iterations, tol)
@@ -104,12 +111,12 @@ def katz(m: DataFrame, alpha: float | None = None, iterations: int = 400, tol: f
     """(node, katz): sum over k >= 1 of alpha^k A^k 1 on the weighted clique expansion, as the fixed
     point of x = alpha A (1 + x). ``alpha`` must lie below 1 over A's largest eigenvalue, else
     NoConverge is raised; by default it is half of 1 over A's largest row sum, which always does."""
-    by_node, by_edge = _both_ways(m.select("node", "edge", "weight"))
+    by_node, by_edge, node_side, edge_side = _both_ways(m.select("node", "edge", "weight"))
     own = cut(by_node.groupBy("node").agg(F.sum(F.col("weight") * F.col("weight")).alias("own")))
 
     def times(x: DataFrame) -> DataFrame:  # (node, own, x) to (node, y): A x
-        e = by_node.join(x.select("node", "x"), "node").groupBy("edge").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
-        y = by_edge.join(e, "edge").groupBy("node").agg(F.sum(F.col("weight") * F.col("y")).alias("y"))
+        e = by_node.join(node_side(x.select("node", "x")), "node").groupBy("edge").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
+        y = by_edge.join(edge_side(e), "edge").groupBy("node").agg(F.sum(F.col("weight") * F.col("y")).alias("y"))
         return x.join(y, "node").select("node", "own", (F.col("y") - F.col("own") * F.col("x")).alias("y"))
 
     first = cut(times(own.withColumn("x", F.lit(1.0))))
@@ -142,29 +149,23 @@ def laplacian(m: DataFrame, kind: str = "zhou", omega: DataFrame | None = None)
 def spread_labels(m: DataFrame, labels: DataFrame, xi: float = 0.99, normalisation: str = "none", iterations: int = 200, tol: float = 1e-8) -> DataFrame:
     """(node, predicted, score, margin): F = (1 - xi)(I - xi S)^-1 Y for S of ``laplacian``, all classes at
     once. ``labels`` is (node, label). ``class_mass`` divides each class by its sum. Ties go to the
-    lesser label; nodes out of reach of any label get null. Solved by conjugate gradients, whose
-    scalars are one row a class; NoConverge is raised if the error bound stays above ``tol``."""
+    lesser label; nodes out of reach of any label get null. Solved by conjugate gradients, classes
+    side by side as columns; two numbers a class come to the driver each round. NoConverge is raised if the error bound stays above ``tol``."""
     size = m.groupBy("edge").agg(F.count(F.lit(1)).alias("k"))
     d = m.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    by_node, by_edge = _both_ways(m.select("node", "edge").join(size, "edge").join(d, "node").select("node", "edge", "k", (F.lit(1.0) / F.sqrt("d")).alias("v")))
+    by_node, by_edge, node_side, edge_side = _both_ways(m.select("node", "edge").join(size, "edge").join(d, "node").select("node", "edge", "k", (F.lit(1.0) / F.sqrt("d")).alias("v")))
     known = labels.where("node is not null and label is not null").select("node", F.col("label").cast("string").alias("label")).distinct()
-    start = F.lit(1 - xi)
-    state = cut(known.join(by_node.select("node").distinct(), "node", "left_semi").select("node", "label", F.lit(0.0).alias("x"), start.alias("r"), start.alias("p")))
-    for done in range(iterations + 1):
-        e = by_node.join(state.select("node", "label", "p"), "node").groupBy("edge", "label").agg(F.sum(F.col("v") * F.col("p") / F.col("k")).alias("y"))
-        z = by_edge.join(e, "edge").groupBy("node", "label").agg(F.sum(F.col("v") * F.col("y")).alias("z"))
-        st = state.join(z, ["node", "label"], "full").na.fill(0.0, ["x", "r", "p", "z"])
-        st = cut(st.select("node", "label", "x", "r", "p", (F.col("p") - F.lit(xi) * F.col("z")).alias("ap")))
-        by_class = st.groupBy("label").agg(F.sum(F.col("r") * F.col("r")).alias("rs"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
-        a = F.when(F.col("pap") > 0, F.col("rs") / F.col("pap")).otherwise(0.0)
-        st = cut(st.join(bounded(by_class), "label").select("node", "label", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("ap")).alias("r"), "p", "rs"))
-        after = cut(st.groupBy("label").agg(F.sum(F.col("r") * F.col("r")).alias("now"), F.max(F.abs("r")).alias("worst")))
-        state = st.join(bounded(after), "label").select("node", "label", "x", "r", (F.col("r") + F.when(F.col("rs") > 0, F.col("now") / F.col("rs")).otherwise(0.0) * F.col("p")).alias("p"))
-        if (after.agg(F.max("worst")).first()[0] or 0.0) < tol * (1 - xi):
-            break
-        if done == iterations:
-            raise NoConverge(f"label spreading did not settle in {iterations} rounds")
-    f = cut(state.select("node", "label", F.col("x").alias("f")))
+    known = cut(known.join(by_node.select("node").distinct(), "node", "left_semi"))
+    classes = [r["label"] for r in known.select("label").distinct().orderBy("label").limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise BadInput(f"more than {MAX_CLASSES} classes")
+    f = known.select("node", "label", F.lit(0.0).alias("f")).limit(0)
+    for at in range(0, len(classes), WIDE):  # classes do not touch each other
+        own = classes[at : at + WIDE]
+        x = _solve(by_node, by_edge, node_side, edge_side, known, own, xi, iterations, tol)
+        long = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"x{i}").alias("f")) for i, c in enumerate(own)])).alias("c")
+        f = f.unionByName(x.select("node", long).select("node", "c.label", "c.f").where("f <> 0"))
+    f = cut(f)
     if normalisation == "class_mass":
         f = f.withColumn("f", F.col("f") / F.sum("f").over(Window.partitionBy("label")))
     elif normalisation != "none":
@@ -175,6 +176,31 @@ def spread_labels(m: DataFrame, labels: DataFrame, xi: float = 0.99, normalisati
     return by_node.select("node").distinct().join(out, "node", "left")
 
 
+#: Classes of label spreading at most, and classes solved side by side as columns of one table.
+MAX_CLASSES, WIDE = 4096, 32
+
+
+def _solve(by_node: DataFrame, by_edge: DataFrame, node_side: Side, edge_side: Side, known: DataFrame, classes: list[str], xi: float, iterations: int, tol: float) -> DataFrame:
+    """(node, x0, x1, ...): (I - xi S) x = (1 - xi) y by conjugate gradients, a column for each class."""
+    n = range(len(classes))
+    c = lambda k: [F.col(f"{k}{i}") for i in n]
+    y = known.groupBy("node").agg(*[F.max(F.when(F.col("label") == k, 1 - xi).otherwise(0.0)).alias(f"r{i}") for i, k in enumerate(classes)])
+    state = by_node.select("node").distinct().join(y, "node", "left").na.fill(0.0).select("node", *[F.lit(0.0).alias(f"x{i}") for i in n], *c("r"), *[F.col(f"r{i}").alias(f"p{i}") for i in n])
+    for _ in range(iterations):
+        e = by_node.join(node_side(state.select("node", *c("p"))), "node").groupBy("edge").agg(*[F.sum(F.col("v") * F.col(f"p{i}") / F.col("k")).alias(f"y{i}") for i in n])
+        z = by_edge.join(edge_side(e), "edge").groupBy("node").agg(*[F.sum(F.col("v") * F.col(f"y{i}")).alias(f"z{i}") for i in n])
+        st = cut(state.join(z, "node").select("node", *c("x"), *c("r"), *c("p"), *[(F.col(f"p{i}") - F.lit(xi) * F.col(f"z{i}")).alias(f"q{i}") for i in n]))
+        got = st.agg(*[F.sum(F.col(f"p{i}") * F.col(f"q{i}")).alias(f"a{i}") for i in n], *[F.sum(F.col(f"r{i}") * F.col(f"r{i}")).alias(f"b{i}") for i in n]).first()
+        go = [F.lit((got[f"b{i}"] or 0.0) / got[f"a{i}"] if got[f"a{i}"] else 0.0) for i in n]
+        st = st.select("node", *[(F.col(f"x{i}") + go[i] * F.col(f"p{i}")).alias(f"x{i}") for i in n], *[(F.col(f"r{i}") - go[i] * F.col(f"q{i}")).alias(f"r{i}") for i in n], *c("p"))
+        now = st.agg(*[F.sum(F.col(f"r{i}") * F.col(f"r{i}")).alias(f"b{i}") for i in n], F.max(F.array_max(F.transform(F.array(*c("r")), F.abs))).alias("worst")).first()
+        turn = [F.lit((now[f"b{i}"] or 0.0) / got[f"b{i}"] if got[f"b{i}"] else 0.0) for i in n]
+        state = st.select("node", *c("x"), *c("r"), *[(F.col(f"r{i}") + turn[i] * F.col(f"p{i}")).alias(f"p{i}") for i in n])
+        if (now["worst"] or 0.0) < tol * (1 - xi):
+            return state.select("node", *c("x"))
+    raise NoConverge(f"label spreading did not settle in {iterations} rounds")
+
+
 def _dense(m: DataFrame) -> tuple[list[str], np.ndarray]:
     """Nodes and S = I - L on the driver, within the guard."""
     n = m.select("node").distinct().count()

@@ -277,19 +277,27 @@ def representations(m: DataFrame) -> DataFrame:
     return row("bg", simple, ends(simple)).unionByName(row("mg", pairs, ends(pairs))).unionByName(row("bh", once.select("edge").distinct(), once)).unionByName(row("mh", m.select("edge").distinct(), m))
 
 
+def _urn(m: DataFrame, min_count: int) -> DataFrame:
+    d = m.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    c = clique_projection(m).withColumn("observed", F.col("weight").cast("long"))
+    c = c.join(d.select(F.col("node").alias("node_a"), F.col("d").alias("da")), "node_a").join(d.select(F.col("node").alias("node_b"), F.col("d").alias("db")), "node_b")
+    c = cut(c.select("node_a", "node_b", "observed", (F.col("da") * F.col("db")).alias("k")))
+    c = with_total(c, urn="k", draws="observed").where(F.col("observed") >= min_count)
+    return c.withColumn("expected", F.col("draws") * F.col("k") / F.col("urn")).withColumn("ratio", F.col("observed") / F.col("expected"))
+
+
+def pair_expected(m: DataFrame, min_count: int = 5) -> DataFrame:
+    """(node_a, node_b, observed, expected, ratio) of ``pair_anomaly``, without its tails."""
+    return _urn(m, min_count).select("node_a", "node_b", "observed", "expected", "ratio")
+
+
 def pair_anomaly(m: DataFrame, min_count: int = 5, alpha: float = 0.05) -> DataFrame:
     """(node_a, node_b, observed, expected, ratio, p_over, p_under, p_over_adj, p_under_adj, anomaly):
     pairs that share more or fewer edges than degrees let expect. The urn holds d_a d_b balls of every
     co-occurring pair and is drawn once per co-occurrence; both sums are taken before pairs under
     ``min_count`` are dropped, so the threshold changes rows and never the expectation."""
-    d = m.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    c = clique_projection(m).withColumn("observed", F.col("weight").cast("long"))
-    c = c.join(d.select(F.col("node").alias("node_a"), F.col("d").alias("da")), "node_a").join(d.select(F.col("node").alias("node_b"), F.col("d").alias("db")), "node_b")
-    c = c.withColumn("k", F.col("da") * F.col("db"))
-    tot = c.agg(F.sum("k").alias("urn"), F.sum("observed").alias("draws"))
-    c = c.where(F.col("observed") >= min_count).crossJoin(F.broadcast(tot))
-    c = c.withColumn("expected", F.col("draws") * F.col("k") / F.col("urn"))
-    c = c.withColumn("t", hypergeometric_tails("observed", "k", "urn", "draws")).select("node_a", "node_b", "observed", "expected", (F.col("observed") / F.col("expected")).alias("ratio"), F.col("t.upper").alias("p_over"), F.col("t.lower").alias("p_under"))
+    c = _urn(m, min_count).withColumn("t", hypergeometric_tails("observed", "k", "urn", "draws"))
+    c = c.select("node_a", "node_b", "observed", "expected", "ratio", F.col("t.upper").alias("p_over"), F.col("t.lower").alias("p_under"))
     c = p_adjust(p_adjust(c, "p_over", "p_over_adj"), "p_under", "p_under_adj")
     return c.withColumn("anomaly", F.when(F.col("p_over_adj") < alpha, "over").when(F.col("p_under_adj") < alpha, "under").otherwise("normal"))
 
