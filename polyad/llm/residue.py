@@ -205,12 +205,16 @@ def _unquoted(segment: Column) -> Column:
     return F.regexp_replace(s, r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|\\\S+", " ")
 
 
-def _has(words: Column, of: frozenset) -> Column:
-    return F.exists(words, lambda x: x.isin(sorted(of)))
+def _in(of: frozenset) -> str:
+    return ", ".join("'" + x.replace("'", "\\'") + "'" for x in sorted(of))
 
 
-def _count(words: Column, of: frozenset) -> Column:
-    return F.size(F.filter(words, lambda x: x.isin(sorted(of))))
+def _has(words: str, of: frozenset) -> Column:
+    return F.expr(f"exists({words}, x -> x in ({_in(of)}))")
+
+
+def _count(words: str, of: frozenset) -> Column:
+    return F.expr(f"size(filter({words}, x -> x in ({_in(of)})))")
 
 
 def evidence(segments: DataFrame) -> DataFrame:
@@ -226,21 +230,21 @@ def evidence(segments: DataFrame) -> DataFrame:
     s = s.withColumns({"low": F.lower("raw"), "full": F.lower(F.trim("seg"))})
     tok = F.filter(F.split("low", r"[^\p{L}\p{N}']+"), lambda x: (F.length(x) > 0) & ~x.rlike(r"^['\d]+$"))
     s = s.withColumns({"w": F.transform(tok, lambda x: F.regexp_replace(x, r"^(?:n'|l'|d'|s'|qu'|')+|'(?:ll|re|ve|s|d|m)?$", "")), "neg": F.col("low").rlike(r"\bn'|n't\b")})
-    s = s.withColumns({"n": F.size("w"), "known": _count(F.col("w"), LEXICON), "own": F.filter("w", lambda x: ~x.isin(sorted(FUNCTION))), "status": F.col("low").rlike(r"\b[45]\d\d\b")})
+    s = s.withColumns({"n": F.size("w"), "known": _count("w", LEXICON), "own": F.expr(f"filter(w, x -> x not in ({_in(FUNCTION)}))"), "status": F.col("low").rlike(r"\b[45]\d\d\b")})
     w, n = F.col("w"), F.col("n")
     made = (n > 0) & (n - F.col("known") <= F.greatest(F.lit(1), F.floor(n * FOREIGN)))
-    negated = (_has(w, NEGATION) | F.col("neg")) & _has(w, STATE)
-    failed = _has(w, FAILURE) | negated | F.col("low").rlike(
+    negated = (_has("w", NEGATION) | F.col("neg")) & _has("w", STATE)
+    failed = _has("w", FAILURE) | negated | F.col("low").rlike(
         r"\btry again\b|\b(took|taking) too long\b|\btoo many\b|\btimed out\b|\b(limit|quota)\b.*\breached\b|\breached\b.*\b(limit|quota)\b|\bright back\b|\bbad (request|gateway)\b"
         r"|^(sign|log) (back )?in (again )?to\b|versuchen sie es (spater|erneut)|melden sie sich (erneut|wieder)? ?an|reessayer|intentelo (de nuevo|mas tarde)|inicie sesion"
     )
-    bare = F.col("status") | (n <= 4) | _has(w, THING) | F.col("low").rlike(r"\b(session|sitzung|sesion|error|fehler|erreur|permission|oops|whoops|maintenance|again|requests?|wrong|limit|quota|later|back|in again|allowed|permitted|authori[sz]ed|erneut|reessayer|intentelo)\b")
+    bare = F.col("status") | (n <= 4) | _has("w", THING) | F.col("low").rlike(r"\b(session|sitzung|sesion|error|fehler|erreur|permission|oops|whoops|maintenance|again|requests?|wrong|limit|quota|later|back|in again|allowed|permitted|authori[sz]ed|erneut|reessayer|intentelo)\b")
     # a bare word of failure inside a sentence of a few words is a remark, not a message
     error = made & failed & bare & (F.col("known") >= 2) & ~F.col("low").rlike(r"^(no idea|no (difference|longer drops))\b")
     trace = F.col("low").rlike(_any(TRACES)) | F.col("full").rlike(r"\"error\"\s*:|<error\b")
-    notice = (made & _has(w, SCRIPT) & (_has(w, DEMAND) | F.col("neg") | _has(w, NEGATION) | _has(w, FAILURE)) & (F.col("known") >= 3)) | F.col("low").rlike(r"^loading\s*(\.|…|$)")
-    latin = F.size(F.filter(w, lambda x: F.substring(x, 1, 4).isin(LATIN)))
-    spoken = _has(w, SPOKEN)
+    notice = (made & _has("w", SCRIPT) & (_has("w", DEMAND) | F.col("neg") | _has("w", NEGATION) | _has("w", FAILURE)) & (F.col("known") >= 3)) | F.col("low").rlike(r"^loading\s*(\.|…|$)")
+    latin = F.expr(f"size(filter(w, x -> substring(x, 1, 4) in ({_in(frozenset(LATIN))})))")
+    spoken = _has("w", SPOKEN)
     letters = F.regexp_replace("low", r"[^a-z]+", "")
     filler = (
         ((n >= 4) & ~spoken & (latin >= 2) & (latin >= n * 0.4))
@@ -248,7 +252,7 @@ def evidence(segments: DataFrame) -> DataFrame:
         | ((F.size("own") >= 6) & (F.size(F.array_distinct("own")) * 3 <= F.size("own")))
         | ((n >= 4) & (F.length(letters) >= 8) & (F.length(F.regexp_replace(letters, r"x+", "")) == 0))
         | ((n >= 3) & (F.size(F.filter(w, lambda x: (F.length(x) >= 4) & (F.instr(F.lit(KEYBOARD), x) > 0))) >= n * 0.6))
-        | ((n - _count(w, FILLER_LEXICON) <= F.floor(n * FOREIGN)) & ((_has(w, PAPER) & _has(w, TO_COME)) | _has(w, ALWAYS_FILLER) | (_has(w, TO_COME) & (n <= 2) & F.col("low").rlike(r"\b(ersetzen|remplacez|reemplace|sustituya)\b"))))
+        | ((n - _count("w", FILLER_LEXICON) <= F.floor(n * FOREIGN)) & ((_has("w", PAPER) & _has("w", TO_COME)) | _has("w", ALWAYS_FILLER) | (_has("w", TO_COME) & (n <= 2) & F.col("low").rlike(r"\b(ersetzen|remplacez|reemplace|sustituya)\b"))))
     )
     slots = _any(SLOTS)
     slot = F.col("raw").rlike(slots) & ~F.regexp_replace(F.trim("seg"), slots, " ").rlike("(?i)" + MENTION)
