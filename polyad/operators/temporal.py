@@ -28,6 +28,9 @@ FORMATS = [
     "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm", "dd-MM-yyyy", "d MMM yyyy HH:mm", "d MMMM yyyy HH:mm", "d MMM yyyy", "d MMMM yyyy",
 ]
 
+#: Formats of our own, tried after those.
+EXTRA_FORMATS = ["dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy", "yyyyMMdd"]
+
 
 def find_roles(df: DataFrame) -> dict[str, str]:
     """Roles by column name, lower case without other signs than letters and digits. No job."""
@@ -42,7 +45,7 @@ def find_roles(df: DataFrame) -> dict[str, str]:
 
 def parse_times(df: DataFrame, column: str, formats: list[str] | None = None) -> DataFrame:
     """``df`` with a string column as timestamp, by the format that reads most of its values."""
-    formats = formats or FORMATS
+    formats = formats or [*FORMATS, *EXTRA_FORMATS]
     c = F.btrim(column)
     got = df.agg(*[F.count(F.try_to_timestamp(c, F.lit(f))).alias(str(i)) for i, f in enumerate(formats)]).first()
     best = max(range(len(formats)), key=lambda i: (got[i], -i))
