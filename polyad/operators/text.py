@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,15 +234,14 @@ def exclusivity(b: DataFrame, clusters: DataFrame, top: DataFrame, weight: float
 
 def dominant(scores: DataFrame, better: list[str]) -> DataFrame:
     """``scores`` with ``frontier``: no other row is at least as good in every column of ``better`` and
-    better in one. One row stands for one model, so at most 10,000 rows are taken."""
-    if scores.limit(10_001).count() > 10_000:
-        raise DenseTooLarge("more than 10,000 rows of scores")
-    s = scores.withColumn("_id", F.monotonically_increasing_id())
-    s = cut(s)
-    o = s.select(*[F.col(c).alias(f"_{c}") for c in better], F.col("_id").alias("_o"))
-    at_least = F.lit(True)
-    above = F.lit(False)
-    for c in better:
-        at_least, above = at_least & (F.col(f"_{c}") >= F.col(c)), above | (F.col(f"_{c}") > F.col(c))
-    beaten = s.join(F.broadcast(o), at_least & above, "left_semi").select("_id", F.lit(False).alias("_f"))
-    return s.join(beaten, "_id", "left").withColumn("frontier", F.coalesce("_f", F.lit(True))).drop("_id", "_f")
+    better in one. A row with a null beats none and is beaten by none."""
+    s = cut(scores)
+    o = s.select(*[F.col(c).alias(f"_{c}") for c in better]).distinct()
+    kept = s.select(*better).dropna().distinct().join(o, _beaten(better), "left_anti").withColumn("_f", F.lit(True))
+    whole = reduce(and_, [F.col(c).isNotNull() for c in better])
+    return s.join(kept, better, "left").withColumn("frontier", F.when(whole, F.coalesce("_f", F.lit(False))).otherwise(True)).select(*scores.columns, "frontier")
+
+
+def _beaten(better: list[str]) -> Column:
+    at_least = reduce(and_, [F.col(f"_{c}") >= F.col(c) for c in better])
+    return at_least & reduce(or_, [F.col(f"_{c}") > F.col(c) for c in better])

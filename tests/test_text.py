@@ -42,3 +42,14 @@ def test_topics_split_planted_blocks(spark):
     dt, _ = X.topics(X.bag(X.word_counts(X.token_table(d))), 2, iterations=60)
     best = {r["doc"]: r["t"] for r in dt.groupBy("doc").agg(F.max_by("topic", "weight").alias("t")).collect()}
     assert len({best[f"d{i}"] for i in range(0, 8, 2)}) == 1 and best["d0"] != best["d1"]
+
+
+def test_frontier_of_any_number_of_rows(spark):
+    rows = [(i, i % 97, float(i * 7919 % 10_007)) for i in range(10_050)] + [(20_000, 200, None), (20_001, 96, 10_006.0), (20_002, 96, 10_006.0)]
+    top, best = {}, None
+    for a in sorted({r[1] for r in rows if r[2] is not None}, reverse=True):
+        high = max(r[2] for r in rows if r[1] == a and r[2] is not None)
+        if best is None or high > best:
+            top[a], best = high, high
+    got = {r["i"] for r in X.dominant(spark.createDataFrame(rows, "i int, a int, b double"), ["a", "b"]).where("frontier").collect()}
+    assert got == {i for i, a, b in rows if b is None or top.get(a) == b}
