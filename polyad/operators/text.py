@@ -232,16 +232,33 @@ def exclusivity(b: DataFrame, clusters: DataFrame, top: DataFrame, weight: float
     return k.groupBy("cluster").agg(F.sum(F.lit(1.0) / (F.lit(weight) / F.col("e") + F.lit(1 - weight) / F.col("f"))).alias("frex"), F.avg("part").alias("share"))
 
 
+#: Distinct rows of scores that a task compares with one another.
+FRONT_BLOCK = 1000
+
+
 def dominant(scores: DataFrame, better: list[str]) -> DataFrame:
     """``scores`` with ``frontier``: no other row is at least as good in every column of ``better`` and
-    better in one. A row with a null beats none and is beaten by none."""
+    better in one. A row with a null beats none and is beaten by none. Blocks by hash drop what is
+    beaten inside them for as long as that thins the rows; each of the rest meets every block."""
     s = cut(scores)
-    o = s.select(*[F.col(c).alias(f"_{c}") for c in better]).distinct()
-    kept = s.select(*better).dropna().distinct().join(o, _beaten(better), "left_anti").withColumn("_f", F.lit(True))
+    left = cut(s.select(*better).dropna().distinct())
+    n, was = left.count(), None
+    while n > FRONT_BLOCK and (was is None or n < 0.8 * was):
+        blocks = F.pmod(F.xxhash64(*better), F.lit(-(-n // FRONT_BLOCK))).alias("_k")
+        left = cut(left.select("*", blocks).join(_rivals(left, better, blocks), (F.col("_k") == F.col("_j")) & _beaten(better), "left_anti").select(*better))
+        n, was = left.count(), n
+    blocks = max(1, -(-n // FRONT_BLOCK))
+    asks = left.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    lost = asks.join(_rivals(left, better, F.pmod(F.xxhash64(*better), F.lit(blocks))), (F.col("_k") == F.col("_j")) & _beaten(better), "left_semi").select(*better).distinct()
+    kept = left.join(lost, better, "left_anti").withColumn("_f", F.lit(True))
     whole = reduce(and_, [F.col(c).isNotNull() for c in better])
     return s.join(kept, better, "left").withColumn("frontier", F.when(whole, F.coalesce("_f", F.lit(False))).otherwise(True)).select(*scores.columns, "frontier")
 
 
+def _rivals(rows: DataFrame, better: list[str], block: Column) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"_{c}") for c in better], block.alias("_j"))
+
+
 def _beaten(better: list[str]) -> Column:
     at_least = reduce(and_, [F.col(f"_{c}") >= F.col(c) for c in better])
     return at_least & reduce(or_, [F.col(f"_{c}") > F.col(c) for c in better])

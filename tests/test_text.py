@@ -53,3 +53,22 @@ def test_frontier_of_any_number_of_rows(spark):
             top[a], best = high, high
     got = {r["i"] for r in X.dominant(spark.createDataFrame(rows, "i int, a int, b double"), ["a", "b"]).where("frontier").collect()}
     assert got == {i for i, a, b in rows if b is None or top.get(a) == b}
+
+
+def test_frontier_is_thinned_by_blocks(spark, monkeypatch):
+    seen = []
+    rivals = X._rivals
+    monkeypatch.setattr(X, "_rivals", lambda rows, *a: seen.append(rows.count()) or rivals(rows, *a))
+    s = spark.range(60_000).selectExpr("id", "cast(id % 251 as int) a", "cast((id * 7919) % 60013 as double) b", "cast(1 as int) c")
+    got = {r["id"] for r in X.dominant(s, ["a", "b", "c"]).where("frontier").collect()}
+    best, want = -1.0, set()
+    for r in sorted(s.collect(), key=lambda r: (-r["a"], -r["b"])):
+        if r["b"] > best:
+            best = r["b"]
+            want.add(r["id"])
+    assert got == want and seen[-1] < 10_000
+
+
+def test_frontier_on_which_all_rows_stand(spark):
+    s = spark.range(2_500).selectExpr("id a", "-id b")
+    assert X.dominant(s, ["a", "b"]).where("frontier").count() == 2_500
