@@ -17,7 +17,8 @@ from polyad.errors import BadInput, DenseTooLarge, NoConverge
 from polyad.operators.structure import neighbours
 from polyad.plans.iterate import fixed_point
 from polyad.plans.rank import with_total
-from polyad.plans.session import BROADCAST_ROWS, cut
+from polyad.plans.session import BROADCAST_ROWS, bounded, cut
+from polyad.plans.together import Cells, in_step, kmeans, leading, number, rows
 
 MAX_DENSE = 5000
 Side = Callable[[DataFrame], DataFrame]
@@ -215,39 +216,22 @@ def _dense(m: DataFrame) -> tuple[list[str], np.ndarray]:
     return nodes, s
 
 
-def kmeans(x: np.ndarray, k: int, starts: int = 25, seed: int = 1) -> np.ndarray:
-    """Labels of the best of several starts, numbered by first appearance."""
-    rng, best, labels = np.random.default_rng(seed), np.inf, np.zeros(len(x), int)
-    for _ in range(starts):
-        c = [x[rng.integers(len(x))]]
-        for _ in range(1, k):
-            d = np.min([((x - z) ** 2).sum(1) for z in c], axis=0)
-            c.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
-        c = np.array(c)
-        for _ in range(100):
-            a = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-            new = np.array([x[a == j].mean(0) if (a == j).any() else c[j] for j in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        cost = ((x - c[a]) ** 2).sum()
-        if cost < best - 1e-12:
-            best, labels = cost, a
-    order: dict[int, int] = {}
-    return np.array([order.setdefault(int(v), len(order) + 1) for v in labels])
-
-
 def spectral_clusters(m: DataFrame, k: int, starts: int = 25, seed: int = 1) -> DataFrame:
-    """(node, cluster): k-means on the rows, at unit length, of the k leading eigenvectors of S. Dense on
-    the driver up to MAX_DENSE nodes."""
-    nodes, s = _dense(m)
-    if not 1 <= k <= len(nodes):
+    """(node, cluster): k-means on the rows, at unit length, of the k leading eigenvectors of S, found by
+    passes over the memberships; no node by node matrix is formed."""
+    names, cells, n = number(m)
+    if not 1 <= k <= n:
         raise BadInput("k is between 1 and the number of nodes")
-    _, vec = np.linalg.eigh(s)
-    u = vec[:, ::-1][:, :k]
-    u = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
-    lab = kmeans(u, k, starts, seed)
-    return m.sparkSession.createDataFrame([(a, int(b)) for a, b in zip(nodes, lab, strict=True)], "node string, cluster int")
+
+    def fit(group, batches):
+        own = Cells(batches)
+        root = np.sqrt(group.total(sum((np.bincount(i, minlength=n) for _, i, *_ in own.blocks()), np.zeros(n))))
+        _, u = leading(group, lambda x: group.total(own.there_and_back(x / root)) / root, n, k, seed)
+        mine = group.own(n)
+        u = u[:, mine].T / np.maximum(np.linalg.norm(u[:, mine], axis=0), 1e-12)[:, None]
+        yield from rows(i=np.arange(mine.start, mine.stop), cluster=kmeans(group, u, k, starts, seed))
+
+    return names.join(bounded(in_step(cells, fit, "i long, cluster long")), "i").select("node", F.col("cluster").cast("int").alias("cluster"))
 
 
 def embed(m: DataFrame, dimensions: int) -> DataFrame:
