@@ -6,109 +6,118 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyad.errors import BadInput, DenseTooLarge
-from polyad.operators.spectral import MAX_DENSE, _dense, kmeans, spectral_clusters
-from polyad.plans.session import cut
-
-MAX_CELLS = 2_000_000
-
-
-def _cells(m: DataFrame) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
-    rows = m.select("node", "edge", "weight").limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise DenseTooLarge(f"more than {MAX_CELLS} cells")
-    nodes, edges = sorted({r["node"] for r in rows}), sorted({r["edge"] for r in rows})
-    a, b = {n: i for i, n in enumerate(nodes)}, {e: i for i, e in enumerate(edges)}
-    return nodes, edges, np.array([a[r["node"]] for r in rows]), np.array([b[r["edge"]] for r in rows]), np.array([r["weight"] for r in rows])
+from polyad.errors import BadInput
+from polyad.operators.spectral import spectral_clusters
+from polyad.plans.session import bounded, cut
+from polyad.plans.together import Cells, in_step, kmeans, leading, number, rows
 
 
 def cocluster(m: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """(kind, name, cluster): nodes and edges together, by k-means on the scaled singular vectors of
-    D_r^-1/2 B D_c^-1/2 after the first, ceil(log2 k) of them. On the driver within a guard."""
-    nodes, edges, i, j, w = _cells(m)
-    if min(len(nodes), len(edges)) > MAX_DENSE:
-        raise DenseTooLarge(f"more than {MAX_DENSE} nodes and edges")
-    r, c = np.bincount(i, w, len(nodes)), np.bincount(j, w, len(edges))
-    x = w / np.sqrt(r[i]) / np.sqrt(c[j])
-    flip = len(nodes) > len(edges)
-    p, q, n, m_ = (j, i, len(edges), len(nodes)) if flip else (i, j, len(nodes), len(edges))
-    order = np.argsort(q, kind="stable")
-    p, q, x = p[order], q[order], x[order]
-    g = np.zeros((n, n))
-    for a in range(0, m_, 2000):  # the longer side in blocks, so that the matrix is never held whole
-        lo, hi = np.searchsorted(q, [a, a + 2000])
-        part = np.zeros((n, min(2000, m_ - a)))
-        part[p[lo:hi], q[lo:hi] - a] = x[lo:hi]
-        g += part @ part.T
-    val, vec = np.linalg.eigh(g)
-    short, s = vec[:, ::-1], np.sqrt(np.maximum(val[::-1], 1e-300))
-    top = min(max(1, int(np.ceil(np.log2(k)))) + 1, n)
-    long = np.stack([np.bincount(q, x * short[p, t], m_) / s[t] for t in range(top)], 1)
-    u, v = (long, short[:, :top].T) if flip else (short[:, :top], long.T)
+    D_r^-1/2 B D_c^-1/2 after the first, ceil(log2 k) of them. The fewer of nodes and edges are held as
+    vectors, the others stay with their memberships."""
+    few = m.agg(F.count_distinct("node").alias("n"), F.count_distinct("edge").alias("e")).first()
+    short, long = ("node", "edge") if few["n"] <= few["e"] else ("edge", "node")
+    names, cells, n = number(m, short, long)
     d = max(1, int(np.ceil(np.log2(k))))
-    u, v = u[:, 1 : d + 1], v[1 : d + 1].T
-    sign = np.sign(u[np.abs(u).argmax(0), range(u.shape[1])])
-    x = np.vstack([u * sign / np.sqrt(r)[:, None], v * sign / np.sqrt(c)[:, None]])
-    lab = kmeans(x, k, 25, seed)
-    names = [("node", n) for n in nodes] + [("edge", e) for e in edges]
-    return m.sparkSession.createDataFrame([(a, n, int(z)) for (a, n), z in zip(names, lab, strict=True)], "kind string, name string, cluster int")
+
+    def fit(group, batches):
+        import pyarrow as pa
+
+        own = Cells(batches, names=True)
+        root = np.sqrt(group.total(sum((np.bincount(i, w, n) for _, i, w, *_ in own.blocks()), np.zeros(n))))
+        val, u = leading(group, lambda x: group.total(own.there_and_back(x / root, weighted=True)) / root, n, min(d + 1, n), seed)
+        u, s = u[1:] / root, np.sqrt(np.maximum(val[1:], 1e-300))
+        v = np.zeros((len(own.starts), len(u)))
+        for at, i, w, first, _ in own.blocks():
+            c = np.add.reduceat(w, first)
+            v[at] = np.stack([np.add.reduceat(row[i] * w, first) / c for row in u], 1) / s if len(u) else 0.0
+        here = np.arange(n if group.rank == (0 if short == "node" else group.size - 1) else 0)  # nodes come before edges
+        x = np.vstack([u.T[here], v] if short == "node" else [v, u.T[here]])
+        lab = kmeans(group, x, k, 25, seed)
+        of_short, of_long = (lab[: len(here)], lab[len(here) :]) if short == "node" else (lab[len(v) :], lab[: len(v)])
+        if len(here):
+            yield from rows(i=here, name=pa.nulls(len(here), pa.string()), cluster=of_short)
+        if len(v):
+            yield from rows(i=pa.nulls(len(v), pa.int64()), name=pa.chunked_array(own.names).combine_chunks(), cluster=of_long)
+
+    got = in_step(cells, fit, "i long, name string, cluster long")
+    cluster = F.col("cluster").cast("int").alias("cluster")
+    a = got.where("i is not null").select("i", "cluster").join(bounded(names), "i").select(F.lit(short).alias("kind"), F.col("node").alias("name"), cluster)
+    return a.unionByName(got.where("i is null").select(F.lit(long).alias("kind"), "name", cluster))
 
 
 def symmetric_nmf(m: DataFrame, k: int, starts: int = 5, rounds: int = 300, seed: int = 1) -> DataFrame:
     """(node, cluster, membership): S ~ H H' with H >= 0 by damped multiplicative updates, best of several
-    starts; the cluster is the largest entry and the membership its share. Dense, guarded."""
-    nodes, s = _dense(m)
-    best, h0 = np.inf, None
-    for t in range(starts):
-        h = np.random.default_rng(seed + t).random((len(nodes), k)) * 2 * np.sqrt(s.mean() / k)
-        for _ in range(rounds):
-            h = h * (0.5 + 0.5 * (s @ h) / np.maximum(h @ (h.T @ h), 1e-12))
-        cost = ((s - h @ h.T) ** 2).sum()
-        if cost < best:
-            best, h0 = cost, h
-    share = h0 / np.maximum(h0.sum(1, keepdims=True), 1e-12)
-    return m.sparkSession.createDataFrame([(n, int(r.argmax()) + 1, float(r.max())) for n, r in zip(nodes, share, strict=True)], "node string, cluster int, membership double")
+    starts; the cluster is the largest entry and the membership its share. S is applied by passes over
+    the memberships and never formed."""
+    names, cells, n = number(m)
+
+    def fit(group, batches):
+        own = Cells(batches)
+        root = np.sqrt(group.total(sum((np.bincount(i, minlength=n) for _, i, *_ in own.blocks()), np.zeros(n))))
+        times = lambda x: group.total(own.there_and_back(x / root)) / root
+        mean = times(np.ones((1, n))).sum() / n**2
+        h = np.hstack([np.random.default_rng(seed + t).random((n, k)) * 2 * np.sqrt(mean / k) for t in range(starts)]).T
+        parts = [slice(t * k, (t + 1) * k) for t in range(starts)]
+        for _ in range(rounds):  # the starts side by side
+            sh = times(h)
+            h = np.vstack([h[p] * (0.5 + 0.5 * sh[p] / np.maximum((h[p] @ h[p].T) @ h[p], 1e-12)) for p in parts])
+        sh = times(h)
+        costs = [((h[p] @ h[p].T) ** 2).sum() - 2 * (sh[p] * h[p]).sum() for p in parts]  # less the square of S
+        mine = group.own(n)
+        best = h[parts[int(group.each(costs)[0].argmin())], mine].T
+        share = best / np.maximum(best.sum(1, keepdims=True), 1e-12)
+        yield from rows(i=np.arange(mine.start, mine.stop), cluster=share.argmax(1) + 1, membership=share.max(1))
+
+    got = in_step(cells, fit, "i long, cluster long, membership double")
+    return names.join(bounded(got), "i").select("node", F.col("cluster").cast("int").alias("cluster"), "membership")
 
 
 def block_model(m: DataFrame, k: int, starts: int = 3, rounds: int = 100, seed: int = 1) -> DataFrame:
     """(node, community, membership): Poisson mixed memberships, assortative: an edge's rate is the sum over
-    communities of w_c (s_c^2 - sum u_ic^2) / 2 with s_c the members' sum. Expectation maximisation on
-    sparse cells, one start per group of applyInPandas, the likeliest kept."""
-    reps = m.sparkSession.range(starts).select(F.col("id").cast("int").alias("start"))
-    b = m.select("node", "edge").distinct()
-    if b.count() > MAX_CELLS:
-        raise DenseTooLarge(f"more than {MAX_CELLS} cells")
-
-    def fit(key, pdf):
-        import pandas as pd
-
-        nodes, i = np.unique(pdf["node"].to_numpy(), return_inverse=True)
-        edges, j = np.unique(pdf["edge"].to_numpy(), return_inverse=True)
-        rng = np.random.default_rng(seed + int(key[0]))
-        u, w = rng.random((len(nodes), k)) + 0.1, rng.random(k) + 0.1
-
-        def sums(x):
-            out = np.zeros((len(edges), k))
-            np.add.at(out, j, x[i])
-            return out
-
-        for _ in range(rounds):
-            s, q = sums(u), sums(u**2)
-            pair = np.maximum((s**2 - q) / 2, 0)
-            lam = np.maximum(pair @ w, 1e-12)
-            tot, sq = u.sum(0), (u**2).sum(0)
-            w = w * (pair / lam[:, None]).sum(0) / np.maximum((tot**2 - sq) / 2, 1e-12)
-            num = np.zeros_like(u)
-            np.add.at(num, i, (s[j] - u[i]) / lam[j][:, None])
-            u = u * (num * w) / np.maximum(w * (tot - u), 1e-12)
-        pair = np.maximum((sums(u) ** 2 - sums(u**2)) / 2, 0)
-        ll = float(np.log(np.maximum(pair @ w, 1e-12)).sum() - ((u.sum(0) ** 2 - (u**2).sum(0)) / 2 * w).sum())
-        share = u / np.maximum(u.sum(1, keepdims=True), 1e-12)
-        return pd.DataFrame({"node": np.repeat(nodes, k), "community": np.tile(np.arange(1, k + 1), len(nodes)), "membership": share.ravel(), "start": int(key[0]), "ll": ll})
-
-    f = cut(b.crossJoin(F.broadcast(reps)).groupBy("start").applyInPandas(fit, "node string, community int, membership double, start int, ll double"))
-    best = f.agg(F.max(F.struct("ll", "start")).alias("m")).first()["m"]
-    return f.where(F.col("start") == (best["start"] if best else -1)).select("node", "community", "membership")
+    communities of w_c (s_c^2 - sum u_ic^2) / 2 with s_c the members' sum. Expectation maximisation by
+    passes over the memberships, the likeliest of several starts."""
+    names, cells, n = number(m.select("node", "edge", F.lit(1.0).alias("weight")).distinct())
+
+    def fit(group, batches):
+        own, best, kept = Cells(batches), -np.inf, None
+
+        def pairs(u):
+            """By block: where its edges start, their cells, nodes, sums, and pairs of each community."""
+            for _, i, _, s, size in own.blocks():
+                x = u[:, i]
+                sums = np.add.reduceat(x, s, axis=1)
+                yield i, x, size, sums, np.maximum((sums**2 - np.add.reduceat(x**2, s, axis=1)) / 2, 0)
+
+        for t in range(starts):
+            rng = np.random.default_rng(seed + t)
+            u, w = rng.random((n, k)).T + 0.1, rng.random(k) + 0.1
+            for _ in range(rounds):
+                num, got = np.zeros((k, n)), np.zeros(k)
+                for i, x, size, sums, pair in pairs(u):
+                    lam = np.maximum(w @ pair, 1e-12)
+                    got += (pair / lam).sum(1)
+                    each = np.repeat(1 / lam, size)
+                    for c in range(k):
+                        num[c] += np.bincount(i, (np.repeat(sums[c], size) - x[c]) * each, n)
+                both = group.total(np.append(num.ravel(), got))
+                num, got = both[:-k].reshape(k, n), both[-k:]
+                tot, sq = u.sum(1), (u**2).sum(1)
+                was, w = w, w * got / np.maximum((tot**2 - sq) / 2, 1e-12)
+                # the root, as rates are of second degree in u, and the former w in what num explains: the likelihood never falls
+                u = u * np.sqrt(num * was[:, None] / np.maximum(w[:, None] * (tot[:, None] - u), 1e-12))
+            ll = sum(float(np.log(np.maximum(w @ pair, 1e-12)).sum()) for *_, pair in pairs(u))
+            ll = group.total([ll])[0] - ((u.sum(1) ** 2 - (u**2).sum(1)) / 2 * w).sum()
+            if group.agree(kept is None or ll >= best):
+                best, kept = ll, u
+        mine = group.own(n)
+        share = kept[:, mine].T
+        share = share / np.maximum(share.sum(1, keepdims=True), 1e-12)
+        yield from rows(i=np.repeat(np.arange(mine.start, mine.stop), k), community=np.tile(np.arange(1, k + 1), len(share)), membership=share.ravel())
+
+    got = in_step(cells, fit, "i long, community long, membership double")
+    return got.join(bounded(names), "i").select("node", F.col("community").cast("int").alias("community"), "membership")
 
 
 def cluster_stability(m: DataFrame, k: int, n_boot: int = 5, fraction: float = 0.5, seed: int = 1) -> DataFrame:
