@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from polyad.operators.hypergraph import collapse_duplicates
 from polyad.operators.paths import betweenness, closeness
 from polyad.plans.rank import numbered, running, with_total
 from polyad.plans.session import bounded, cut
+from polyad.plans.together import number
 
 
 def _sizes(m: DataFrame) -> DataFrame:
@@ -200,15 +203,60 @@ def extra_overlap_transitivity(m: DataFrame) -> DataFrame:
     return d.join(p, "node", "left").select("node", F.when(k == 1, 0.0).otherwise(2 * F.coalesce("x", F.lit(0.0)) / (k * (k - 1))).alias("transitivity"))
 
 
+#: Pairs of a graph that a task of the triangle count should hold.
+TRIANGLE_PAIRS = 6_000_000
+
+
+def triangles(p: DataFrame) -> DataFrame:
+    """(i, closed): triangles at each node of distinct pairs (a, b) of node numbers below 2^31. Nodes fall
+    into groups; a task holds the pairs among three groups and counts the triangles whose members are
+    of just these, so that no two-path is written anywhere."""
+    g = max(3, math.ceil(math.sqrt(6 * p.count() / TRIANGLE_PAIRS)))
+    three = F.array_sort(F.array(F.col("a") % g, F.col("b") % g, F.col("third")))
+    x = p.withColumn("third", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long")))).withColumn("three", three)
+    x = x.select(((F.col("three")[0] * g + F.col("three")[1]) * g + F.col("three")[2]).alias("t"), F.shiftleft("a", 32).bitwiseOR(F.col("b")).alias("pair"))
+
+    def count(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        pair, t = pdf["pair"].to_numpy(), int(key[0])
+        names, at = np.unique(np.concatenate([pair >> 32, pair & 0xFFFFFFFF]), return_inverse=True)
+        n = len(names)
+        place = np.argsort(np.bincount(at, minlength=n), kind="stable")  # from few neighbours to many keeps lists short
+        rank = np.argsort(place).astype(np.int32)
+        lo, hi = rank[at[: len(pair)]], rank[at[len(pair) :]]
+        u, v = np.minimum(lo, hi), np.maximum(lo, hi)
+        order = np.argsort(u, kind="stable")
+        v, first = v[order], np.searchsorted(u[order], np.arange(n + 1))
+        own, want = names[place] % g, t % g + t // g % g + t // g**2
+        closed, flag = np.zeros(n, np.int64), np.zeros(n, bool)
+        for k in range(n):
+            near = v[first[k] : first[k + 1]]
+            flag[near] = True
+            for c in range(0, len(near), 1000):
+                mid = near[c : c + 1000]
+                size = first[mid + 1] - first[mid]
+                far = v[np.repeat(first[mid] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                hit = np.flatnonzero(flag[far])
+                mid, far = np.repeat(mid, size)[hit], far[hit]
+                just = own[k] + own[mid] + own[far] == want  # not all three of the group that occurs twice
+                mid, far = mid[just], far[just]
+                closed[k] += len(far)
+                closed += np.bincount(mid, minlength=n) + np.bincount(far, minlength=n)
+            flag[near] = False
+        return pd.DataFrame({"i": names[place], "closed": closed})
+
+    return x.groupBy("t").applyInPandas(count, "i long, closed long").groupBy("i").agg(F.sum("closed").alias("closed"))
+
+
 def projection_transitivity(m: DataFrame) -> DataFrame:
     """(node, transitivity): closed two-paths over pairs of neighbours in the clique projection; null
     below two neighbours."""
-    p = node_pairs(m).select("node_a", "node_b").distinct()
-    both = p.select(F.col("node_a").alias("node"), F.col("node_b").alias("o")).unionByName(p.select(F.col("node_b").alias("node"), F.col("node_a").alias("o")))
-    deg = both.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
-    two = both.select("node", F.col("o").alias("node_a")).join(both.select("node", F.col("o").alias("node_b")), "node").where("node_a < node_b")
-    closed = two.join(p, ["node_a", "node_b"], "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("closed"))
-    every = m.select("node").distinct().join(deg, "node", "left").join(closed, "node", "left")
+    names, cells, _ = number(m)
+    p = cut(node_pairs(cells.withColumnRenamed("i", "node")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    deg = p.select(F.explode(F.array("a", "b")).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("k"))
+    every = names.join(deg, "i", "left").join(triangles(p), "i", "left")
     k = F.col("k")
     return every.select("node", F.when(k >= 2, F.coalesce("closed", F.lit(0)) / (k * (k - 1) / 2)).alias("transitivity"))
 

@@ -111,3 +111,21 @@ def test_pair_anomaly_finds_a_planted_pair(spark):
     edges = {f"e{i}": set(rnd.sample("abcdefgh", 3)) for i in range(130)} | {f"p{i}": {"x", "y"} for i in range(25)} | {f"q{i}": {"x", "a"} for i in range(3)}
     r = S.pair_anomaly(hg(spark, **edges)).where("anomaly = 'over'").collect()
     assert ("x", "y") in {(x["node_a"], x["node_b"]) for x in r} and all(x["ratio"] > 1 for x in r)
+
+
+def test_triangles_are_counted_by_groups_of_nodes(spark, monkeypatch):
+    from itertools import combinations
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    near = np.triu(rng.random((40, 40)) < 0.3, 1)
+    monkeypatch.setattr(S, "TRIANGLE_PAIRS", 50)  # several tasks, no two-path joined
+    p = spark.createDataFrame([(int(a), int(b)) for a, b in zip(*np.nonzero(near))], "a long, b long")
+    want = np.zeros(40, int)
+    for t in combinations(range(40), 3):
+        if all(near[x] for x in combinations(t, 2)):
+            want[list(t)] += 1
+    got = S.triangles(p)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert dict(map(tuple, got.collect())) == dict(enumerate(want.tolist()))
