@@ -129,3 +129,12 @@ def test_triangles_are_counted_by_groups_of_nodes(spark, monkeypatch):
     got = S.triangles(p)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert dict(map(tuple, got.collect())) == dict(enumerate(want.tolist()))
+
+
+def test_louvain_takes_any_number_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(C, "PART", 7)
+    monkeypatch.setattr(C, "MAX_SEARCH", 5, raising=False)  # the guard there was
+    cliques = [(f"n{5 * g + i:02d}", f"n{5 * g + j:02d}", 1.0) for g in range(4) for i in range(5) for j in range(i)]
+    bridges = [(f"n{5 * g:02d}", f"n{5 * ((g + 1) % 4):02d}", 0.5) for g in range(4)]
+    got = {r["node"]: r["label"] for r in C.louvain(spark.createDataFrame(cliques + bridges, "node_a string, node_b string, weight double")).collect()}
+    assert got == {f"n{k:02d}": k // 5 + 1 for k in range(20)}
