@@ -109,3 +109,18 @@ def test_order_zero_and_documents(spark):
     assert [(x["pos"], x["state"]) for x in Q.from_documents(docs, "who", "turn", "phase").orderBy("pos").collect()] == [(1, "z"), (2, "x"), (3, "y")]
     with pytest.raises(BadInput):
         Q.from_documents(docs.selectExpr("doc_id", "who", "turn", "cast(null as string) phase"), "who", "turn", "phase")
+
+
+def test_extra_overlap_of_random_edges(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    e = {f"e{j:02d}": set(rng.choice(12, rng.integers(1, 6), replace=False).tolist()) for j in range(14)}
+    near = {(x, y) for s in e.values() for x in s for y in s if x != y}
+    m = spark.createDataFrame([(f"n{x:02d}", k, 1.0) for k, s in e.items() for x in s], "node string, edge string, weight double")
+    got = S.extra_overlap(m)
+    for r in got.collect():
+        a, b = e[r["edge_a"]] - e[r["edge_b"]], e[r["edge_b"]] - e[r["edge_a"]]
+        hits = sum(any((x, y) in near for y in b) for x in a) + sum(any((x, y) in near for y in a) for x in b)
+        assert np.isclose(r["overlap_beyond"], hits / len(a | b) if a | b else 0.0)
+    assert "leftsemi" not in got._jdf.queryExecution().optimizedPlan().toString().lower()  # no row for each two edges, member and neighbour
