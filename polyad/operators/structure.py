@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from polyad.errors import BadInput
 from polyad.functions.stats import hypergeometric_tails, p_adjust
+from polyad.operators.configuration import dealt, draw_sums, observed_sums
 from polyad.operators.hypergraph import collapse_duplicates
 from polyad.operators.paths import betweenness, closeness
 from polyad.plans.rank import numbered, running, with_total
@@ -390,7 +391,11 @@ def null_statistics(m: DataFrame, keys: list[str] | None = None) -> DataFrame:
     def link(a: DataFrame, c: DataFrame) -> DataFrame:
         return a.join(c, keys, "left") if keys else a.crossJoin(F.broadcast(c))
 
-    t = link(link(link(link(base, rep), pairs), o), more)
+    return _null_ratios(link(link(link(link(base, rep), pairs), o), more), keys)
+
+
+def _null_ratios(t: DataFrame, keys: list[str]) -> DataFrame:
+    """The statistics from their sums (keys..., n, m, cells, repeated_edges, pairs, repeated_pairs, js, more)."""
     n, e = F.col("n"), F.col("m")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return t.select(*keys, (F.col("cells") / (n * e)).alias("density"), (F.col("cells") / e).alias("avg_size"), ((F.coalesce("js", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))) / (e * (e - 1) / 2)).alias("avg_jaccard"), (zero("pairs") / (n * (n - 1) / 2)).alias("participation"), zero("repeated_edges").alias("repeated_edges"), zero("repeated_pairs").alias("repeated_pairs"))
@@ -399,20 +404,21 @@ def null_statistics(m: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def configuration_draws(m: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """(replicate, node, edge): stubs of nodes dealt anew to edges, degrees and sizes kept before
     repeated members of an edge collapse."""
-    stubs = m.select("node", "edge").withColumn("i", F.row_number().over(Window.orderBy("edge", "node")))
-    reps = m.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("replicate"))
-    mixed = reps.crossJoin(stubs.select("node", F.col("i").alias("j")))
-    w = Window.partitionBy("replicate").orderBy(F.xxhash64(F.lit(seed), "replicate", "j"), "j")
-    dealt = mixed.withColumn("i", F.row_number().over(w)).join(stubs.select("i", "edge"), "i")
-    return dealt.select("replicate", "node", "edge").distinct()
+    b = cut(m.select("node", "edge"))
+    rows = lambda c: F.count(F.lit(1)).alias(c)
+    stubs = numbered(b.join(b.groupBy("node").agg(rows("s")), "node"), "s", "node", "edge").select((F.col("rank") - 1).alias("j"), "node")
+    places = numbered(b.join(b.groupBy("edge").agg(rows("s")), "edge"), "s", "edge", "node").select((F.col("rank") - 1).alias("i"), "edge")
+    out = stubs.mapInArrow(dealt(b.count(), n, seed), f"replicate int, node {dict(b.dtypes)['node']}, i long")
+    return out.join(places, "i").select("replicate", "node", "edge").distinct()
 
 
 def null_test(m: DataFrame, n: int = 99, seed: int = 1) -> DataFrame:
     """(statistic, observed, null_mean, null_sd, z, p_value) against configuration draws."""
     names = ["density", "avg_size", "avg_jaccard", "participation", "repeated_edges", "repeated_pairs"]
     tall = lambda df, *k: df.select(*k, F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("v")) for s in names])).alias("x")).select(*k, "x.*")
-    obs = tall(null_statistics(m)).withColumnRenamed("v", "observed")
-    nul = tall(null_statistics(cut(configuration_draws(m, n, seed)), ["replicate"]), "replicate")
+    sums, nodes, edges = observed_sums(m)
+    obs = tall(_null_ratios(sums, [])).withColumnRenamed("v", "observed")
+    nul = tall(_null_ratios(cut(draw_sums(m.sparkSession, nodes, edges, n, seed)), ["replicate"]), "replicate")
     j = nul.join(F.broadcast(obs), "statistic").groupBy("statistic", "observed").agg(F.avg("v").alias("null_mean"), F.stddev_samp("v").alias("null_sd"), F.sum((F.col("v") >= F.col("observed")).cast("int")).alias("ge"), F.sum((F.col("v") <= F.col("observed")).cast("int")).alias("le"))
     p = F.least(F.lit(1.0), 2 * (1 + F.least("ge", "le")) / F.lit(n + 1))
     return j.select("statistic", "observed", "null_mean", "null_sd", ((F.col("observed") - F.col("null_mean")) / F.nullif("null_sd", F.lit(0.0))).alias("z"), p.alias("p_value"))
